@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colframe.shipping import ship
+
 #: White space as the word pattern ``[^\x20\x09-\x0D]+`` sees it.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same class inside a Java regular expression.
@@ -79,6 +81,8 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 
 
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
+    """The Arrow form of a DDL schema, for functions that run in Python workers."""
+    ship(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
