@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from colframe.llm import bpe, records
+from colframe.llm import bpe, mixing, quality, records, simhash
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_simhash": simhash.op3_simhash,
+    "op5_quality": quality.op5_quality,
     "op7_records": records.op7_records,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
