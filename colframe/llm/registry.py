@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from colframe.llm import bpe, imatch, mixing, quality, records, simhash
+from colframe.llm import bpe, imatch, mixing, pii, quality, records, simhash
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op5_quality": quality.op5_quality,
+    "op6_pii": pii.op6_pii,
     "op7_records": records.op7_records,
     "op10_mixing": mixing.op10_mixing,
 }
