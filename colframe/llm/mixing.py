@@ -45,7 +45,7 @@ WEIGHTS = (1, 2, 3)
 SHARD_BLOCKS = 4096
 MOST_SHARDS = 4096
 #: Rows of a source that one bucket holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> list[float]:

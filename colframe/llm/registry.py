@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colframe.llm import bpe, imatch, mixing, pii, quality, records, simhash
+from colframe.llm import bpe, imatch, licences, mixing, pii, quality, records, simhash
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -11,7 +11,10 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
     "op7_records": records.op7_records,
+    "op8_licences": licences.op8_licences,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_licences": licences.ORACLE,
+}
