@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from colframe.llm import bpe, imatch, licences, mixing, pii, quality, records, simhash
+from colframe.llm import bpe, imatch, licences, lines, mixing, pii, quality, records, simhash
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
+    "op4_lines": lines.op4_lines,
     "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
     "op7_records": records.op7_records,
