@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colframe.llm import bpe, imatch, licences, lines, mixing, pii, quality, records, simhash
+from colframe.llm import bpe, imatch, licences, lines, mixing, pii, quality, records, simhash, suffixes
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_records": records.op7_records,
     "op8_licences": licences.op8_licences,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_mixing": mixing.op10_mixing,
 }
 
