@@ -2,8 +2,7 @@
 
 Method: for each language the whole table gives two reference histograms: of
 character classes, and of its common words (words with at least
-``COMMON_SHARE`` of all words of the language, lower-cased, and one bin for
-all others).  A document is compared with its language's references by the
+``COMMON_SHARE`` of all words of the language, and one bin for all others).  A document is compared with its language's references by the
 Jensen-Shannon distance (square root of the divergence, base 2: 0 to 1), and
 is rejected if either is over its threshold.  Guards: documents of fewer than
 ``LEAST_WORDS`` words are not judged by divergence, since short histograms
@@ -28,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import BLANKS, documents, let, words_of
+from colframe.llm.common import BLANKS, documents, let, words_of, written
 
 #: Base rules: fewest words, words of a repeated window, most percent of words in repeated windows.
 FEWEST, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -36,25 +35,41 @@ SYMBOLS = "#*$%&|<>"
 #: Divergence: fewest words to judge, thresholds of the two distances.
 LEAST_WORDS = 30
 CHARACTER_LIMIT, WORD_LIMIT = 0.33, 0.42
-COMMON_SHARE, LEAST_SHARE = 0.005, 0.001
-#: Character classes: a set of characters each; the rest of a text is the last class.
+COMMON_SHARE, LEAST_SHARE = 0.01, 0.001
+#: Character classes that are counted one by one, after letters a-z and blanks are taken out.
 CLASSES = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "lower": "abcdefghijklmnopqrstuvwxyz",
     "digit": "0123456789",
-    "blank": BLANKS,
     "mark": ".,;:!?'\"()-",
     "symbol": SYMBOLS + "@=/\\_+~^`[]{}",
 }
+#: All classes: blanks, those above, other characters, and letters a-z.
+CLASS_NAMES = ("blank", *CLASSES, "other", "lower")
 
 
 def without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of these characters a text has."""
+    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def class_counts(text: Column) -> list[Column]:
-    """Characters of each class."""
-    return [without(text, c).cast("long") for c in CLASSES.values()]
+def measures(words: Column, text: Column) -> Column:
+    """A struct of a text's measures: words, their characters, symbols, and characters by class."""
+
+    def of(w: Column, rest: Column) -> Column:
+        word_chars = F.length(F.array_join(w, "")).cast("long")
+        blank = F.length(text) - word_chars
+        each = [without(rest, c) for c in CLASSES.values()]
+        return let(
+            F.struct(word_chars.alias("word_chars"), blank.cast("long").alias("blank"), F.length(rest).cast("long").alias("rest"), *(c.alias(k) for k, c in zip(CLASSES, each))),
+            lambda m: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                m["word_chars"].alias("word_chars"),
+                without(rest, SYMBOLS).alias("n_symbols"),
+                F.array(m["blank"], *(m[k] for k in CLASSES), m["rest"] - reduce(lambda x, y: x + y, (m[k] for k in CLASSES)), F.length(text) - m["blank"] - m["rest"]).alias("classes"),
+            ),
+        )
+
+    return let(F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", ""), lambda rest: of(words, rest))
 
 
 def repeat_words(words: Column) -> Column:
@@ -80,31 +95,24 @@ def repeat_words(words: Column) -> Column:
             ),
         )
 
-    def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(twins(h))))
+    def paired(h: Column, apart: int) -> Column:
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + apart)))
+
+    def windows(w: Column) -> Column:
+        """A hash of each ``WINDOW`` words: of words, then of pairs of hashes, doubling."""
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        return let(hashes, lambda h: let(paired(h, 1), lambda h: let(paired(h, 2), lambda h: F.slice(paired(h, 4), 1, F.size(w) - WINDOW + 1))))
 
-    return let(words, of).cast("long")
+    unlike = lambda h: F.size(F.array_distinct(h)) == F.size(h)
+    return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(windows(words), lambda h: F.when(unlike(h), F.lit(0)).otherwise(twins(h)))).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def base(df: DataFrame, text: str = "text") -> dict[str, Column]:
-    """The base measures of a text as columns."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return {
-        "n_words": F.size(words_of(F.col(text))).cast("long"),
-        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-        "n_symbols": without(t, SYMBOLS).cast("long"),
-        "n_dup_lines": duplicate_lines(t),
-        "n_repeat_words": repeat_words(words_of(F.col(text))),
-    }
-
-
 def _shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda c: F.try_divide(c.cast("double"), total.cast("double")))
 
@@ -116,21 +124,24 @@ def _language(df: DataFrame, lang: str) -> Column:
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """A row for each language with enough documents and one (NULL) for all: ``lang, classes, words, shares``."""
     docs = df.select(_language(df, lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    every = F.array(F.struct(F.col("lang").alias("lang")), F.struct(F.lit(None).cast("string").alias("lang")))
-    names = list(CLASSES)
-    sums = docs.select("lang", F.length("text").cast("long").alias("n"), *(c.alias(k) for k, c in zip(names, class_counts(F.col("text")))))
-    sums = sums.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in names))
-    counted = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    wide = lambda x: x.withColumn("to", F.explode(F.when(F.col("lang").isNull(), F.slice(every, 2, 1)).otherwise(every))).withColumn("lang", F.col("to.lang"))
-    sums = wide(sums).groupBy("lang").agg(*(F.sum(k).alias(k) for k in ("docs", "n", *names)))
-    classes = F.array(*names, F.col("n") - reduce(lambda a, b: a + b, map(F.col, names)))
-    sums = sums.select("lang", "docs", _shares(classes, F.col("n")).alias("classes"))
-    counted = wide(counted).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
-    common = counted.join(totals, F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total"))
-    common = common.select("of", "word", (F.col("n") / F.col("total")).alias("share")).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))
-    kept = sums.filter(F.col("lang").isNull() | (F.col("docs") >= LEAST_SHARE * df.count()))
-    found = kept.join(common, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", "classes", F.coalesce(F.col("common"), F.array().cast("array<struct<word:string,share:double>>")).alias("common"))
+    names = list(CLASS_NAMES)
+    counted = written(docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    # by language
+    lengths = docs.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    of_word = counted.select("lang", "n", measures(F.array("word"), F.col("word"))["classes"].alias("classes"))
+    sums = of_word.groupBy("lang").agg(F.sum("n").alias("total"), *(F.sum(F.col("n") * F.col("classes")[i]).alias(k) for i, k in enumerate(names)))
+    sums = lengths.join(sums, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "docs", "chars", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("total", *names)))
+    common = counted.join(sums.select("of", "total"), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total")).select("lang", "word", "n")
+    # of all: a word with that share of all words has it in some language
+    every = sums.groupBy().agg(*(F.sum(k).alias(k) for k in ("docs", "chars", "total", *names))).select(F.lit(None).cast("string").alias("of"), "*")
+    overall = counted.join(common.select("word").distinct(), "word").groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
+    large = sums.filter(F.col("of").isNotNull() & (F.col("docs") >= LEAST_SHARE * df.count()))
+    sums = large.unionByName(every).withColumn("blank", F.col("chars") - reduce(lambda x, y: x + y, map(F.col, names)))
+    shares_of = common.filter("lang is not null").unionByName(overall).join(sums.select("of", "total"), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total"))
+    shares_of = shares_of.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))).alias("common"))
+    sums = sums.select(F.col("of").alias("lang"), _shares(F.array(*names), F.col("chars")).alias("classes"))
+    none = F.array().cast("array<struct<word:string,share:double>>")
+    found = sums.join(shares_of, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", "classes", F.coalesce("common", none).alias("common"))
     words, shares = F.transform("common", lambda x: x["word"]), F.transform("common", lambda x: x["share"])
     return found.select("lang", "classes", words.alias("words"), F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))).alias("shares"))
 
@@ -147,8 +158,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 def word_counts(words: Column, common: Column) -> Column:
     """How often each common word occurs among the words, and last how many are none of them."""
-    found = F.transform(words, lambda w: F.array_position(common, w))
-    return let(found, lambda at: F.concat(F.transform(common, lambda _, i: F.size(at) - F.size(F.array_remove(at, (i + 1).cast("long")))), F.array(F.size(at) - F.size(F.array_remove(at, F.lit(0).cast("long"))))))
+    each = F.transform(common, lambda c: F.size(words) - F.size(F.array_remove(words, c)))
+    return let(each, lambda n: F.concat(n, F.array(F.size(words) - F.aggregate(n, F.lit(0), lambda a, x: a + x))))
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -157,12 +168,18 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     known = F.broadcast(refs.filter("lang is not null").select(F.col("lang").alias("known")))
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), _language(df, lang).alias("key"))
     joined = rows.join(known, F.col("key") == F.col("known"), "left").join(F.broadcast(refs), F.col("known").eqNullSafe(F.col("lang")), "left")
-    q = {c: F.col(c) for c in ("words", "shares", "classes")}
     t = F.coalesce(F.col("text"), F.lit(""))
-    counts = class_counts(t)
-    p = F.array(*counts, F.length(t).cast("long") - reduce(lambda a, b: a + b, counts))
-    of_words = let(word_counts(words_of(F.lower(t)), q["words"]), lambda c: _shares(c, F.aggregate(c, F.lit(0), lambda a, x: a + x)))
-    out = joined.select("row", *(c.alias(k) for k, c in base(df, "text").items()), jensen_shannon(let(p, lambda c: _shares(c, F.length(t))), q["classes"]).alias("character_distance"), jensen_shannon(of_words, q["shares"]).alias("word_distance"))
+    measured = let(
+        words_of(F.col("text")),
+        lambda w: F.struct(
+            measures(w, t).alias("m"),
+            repeat_words(w).alias("n_repeat_words"),
+            let(word_counts(w, F.col("words")), lambda c: jensen_shannon(_shares(c, F.size(w)), F.col("shares"))).alias("word_distance"),
+        ),
+    )
+    out = joined.select("row", "classes", measured.alias("x"), duplicate_lines(t).alias("n_dup_lines"))
+    characters = let(_shares(F.col("x.m.classes"), F.aggregate("x.m.classes", F.lit(0).cast("long"), lambda a, n: a + n)), lambda p: jensen_shannon(p, F.col("classes")))
+    out = out.select("row", "x.m.n_words", "x.m.word_chars", "x.m.n_symbols", "n_dup_lines", "x.n_repeat_words", characters.alias("character_distance"), "x.word_distance")
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     far = (F.col("n_words") >= LEAST_WORDS) & ((F.col("character_distance") > CHARACTER_LIMIT) | (F.col("word_distance") > WORD_LIMIT))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
