@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import documents, to_arrow, written
+from colframe.llm.common import documents, slices, to_arrow, written
 
 #: The band: shares of the documents that have a term, least and most (idf = -ln share).
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
@@ -45,7 +45,7 @@ PART_DIGITS, WHOLE_DIGITS = 4, 16
 EMPTY = "-" * PART_DIGITS
 LEXICON_LIMIT = 1_000_000
 #: Terms counted in a task before it hands the counts on.
-COUNTED = 400_000
+COUNTED = 150_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
 FIRST_ID = -(1 << 63)
 
@@ -101,8 +101,8 @@ def lexicon_of(df: DataFrame, text: str = "text", least: float = LEAST_SHARE, mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=target)
-        for batch in batches:
-            for t in batch.column(0):
+        for part in slices(batches):
+            for t in part.column(0):
                 counts.update(terms_of(t.as_py()))
                 if len(counts) > COUNTED:
                     yield flush()
@@ -152,7 +152,7 @@ def compared(df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, out, last = known.value, [], None
-        for batch in batches:
+        for batch in slices(batches):
             for block, halo, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
                 fp = fingerprint(terms_of(text), words)
@@ -161,7 +161,7 @@ def compared(df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
                     efp = fingerprint(terms_of(new), words)
                     out.append({"doc_id": last[2], "n_chars": len(last[3]), "edited_sha256": hashlib.sha256(new.encode()).hexdigest(), "fingerprint": last[4], "edited_fingerprint": efp, "near_edited": likeness(last[4], efp), "near_next": likeness(last[4], fp)})
                 last = (block, halo, doc_id, text, fp)
-                if len(out) >= 2000:
+                if len(out) >= 1000:
                     yield pa.RecordBatch.from_pylist(out, schema=target)
                     out = []
         if out:
@@ -177,7 +177,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, out = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for block, halo, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
                 if last and last[0] == block and not last[1]:
