@@ -22,6 +22,8 @@ read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,8 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
 )
 LICENCES = tuple(sorted({name for name, _ in RULES}))
+#: Every known sentence has one of these; letters that stand together there do so in the text.
+STEMS = ("licens", "permission", "copyright", "software", "redistribution", "warranty")
 #: Between sentences: white space after their end, or an empty line; in the second reading any line end.
 ENDS = (r"[.!?:][ \t\n\x0b\f\r]+|\n[ \t\r]*\n", r"[.!?:][ \t\n\x0b\f\r]+|\n")
 _NAMES = tuple(SENTENCES)
@@ -107,22 +111,27 @@ def let_position(known: Column, sentence: Column) -> Column:
 def counts(ids: Column) -> Column:
     """How often each of ``LICENCES`` is matched by its rules in a sequence of identifiers."""
 
-    def step(i: int, left: Column, so_far: dict[str, Column]) -> Column:
-        if i == len(RULES):
-            return F.array(*(so_far.get(k, F.lit(0)) for k in LICENCES))
-        name, sentences = RULES[i]
-        mark = "".join(map(code, sentences))
-        rest = F.replace(left, F.lit(mark), F.lit("."))
-        n = ((F.length(left) - F.length(rest)) / (len(mark) - 1)).cast("int")
-        return let(F.struct(rest.alias("rest"), (so_far.get(name, F.lit(0)) + n).alias("n")), lambda x: step(i + 1, x["rest"], so_far | {name: x["n"]}))
+    marks = ["".join(map(code, sentences)) for _, sentences in RULES]
+    rules = F.array(*(F.struct(F.lit(m).alias("mark"), F.lit(LICENCES.index(name)).alias("licence"), F.lit(len(m) - 1).alias("shorter")) for m, (name, _) in zip(marks, RULES)))
+
+    def step(so_far: Column, rule: Column) -> Column:
+        def counted(rest: Column) -> Column:
+            n = ((F.length(so_far["left"]) - F.length(rest)) / rule["shorter"]).cast("int")
+            return F.struct(rest.alias("left"), F.transform(so_far["n"], lambda c, i: c + F.when(i == rule["licence"], n).otherwise(F.lit(0))).alias("n"))
+
+        return let(F.replace(so_far["left"], rule["mark"], F.lit(".")), counted)
 
-    return F.when(F.instr(ids, "<") == 0, F.array(*(F.lit(0) for _ in LICENCES))).otherwise(step(0, ids, {}))
+    none = F.array(*(F.lit(0) for _ in LICENCES))
+    return F.when(F.instr(ids, "<") == 0, none).otherwise(F.aggregate(rules, F.struct(ids.alias("left"), none.alias("n")), step)["n"])
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_sentences, licenses, n_licenses)``: known sentences, licences with their counts, and how many."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key), F.transform(F.array(*map(F.lit, (0, 1))), lambda i: F.when(i == 0, sequence(t, ENDS[0])).otherwise(sequence(t, ENDS[1]))).alias("ids"))
+    hinted = F.when(let(F.lower(t), lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in STEMS))), t).otherwise(F.lit(""))
+    rows = df.select(F.col(key), hinted.alias("hinted"))
+    t = F.col("hinted")
+    rows = rows.select(F.col(key), F.transform(F.array(*map(F.lit, (0, 1))), lambda i: F.when(i == 0, sequence(t, ENDS[0])).otherwise(sequence(t, ENDS[1]))).alias("ids"))
     each = F.transform("ids", counts)
     most = let(each, lambda c: F.zip_with(F.get(c, F.lit(0)), F.get(c, F.lit(1)), lambda a, b: F.greatest(a, b)))
     found = let(most, lambda c: F.filter(F.arrays_zip(F.array(*map(F.lit, LICENCES)).alias("name"), c.alias("n")), lambda x: x["n"] > 0))
