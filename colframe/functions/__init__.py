@@ -1 +1 @@
-
+"""Functions of columns: arithmetic, text, time, expressions, user functions."""

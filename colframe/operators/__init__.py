@@ -1 +1 @@
-
+"""Operators over tables: selection, joins, aggregates, windows, reshaping, statistics."""

@@ -1 +1 @@
-
+"""The catalogue of registered queries."""

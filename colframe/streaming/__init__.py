@@ -1 +1 @@
-
+"""Recorded steps, and time windows over tables or streams."""
