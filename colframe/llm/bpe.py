@@ -34,11 +34,13 @@ from colframe.llm.common import documents, map_columns
 #: Longest word, in bytes, that the scanned rank array takes.
 LONG_WORD = 192
 #: Chunks in each of the two generations of a worker's cache.
-CACHE = 300_000
+CACHE = 1_100_000
 NO_RANK = 1 << 60
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+_LINES = re.compile(r"(?<=[^\s\0])(?=\n\S)")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_alphabet() -> list[str]:
@@ -48,30 +50,53 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces that join to ``text`` and are pre-tokenized alone as they are in it."""
-    if not text:
-        return []
+def chunks_of(text: str) -> tuple[str, list[str]]:
+    """The first chunk, and the others without the single space that each begins with.
+
+    Chunks are pre-tokenized alone as they are in the text.
+    """
+    if " \0" in text:
+        return text, []
     if "  " in text:
-        return _BETWEEN.split(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+        first, *rest = _BETWEEN.split(text)
+        return first, [x[1:] for x in rest]
+    rest = text.split(" ")
+    return rest.pop(0), rest
 
 
 class ChunkCache(dict):
-    """Chunks to id bytes, in two generations: a full one becomes the old one, and what is used again comes back."""
+    """Chunks to id bytes, by key: a space-led chunk without that space, or NUL and a chunk as it is.
+
+    In two generations: a full one becomes the old one, and what is used again comes back.
+    """
 
     def __init__(self):
         super().__init__()
         self.old: dict[str, bytes] = {}
 
-    def keep(self, chunk: str, ids: bytes) -> bytes:
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def turn(self) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+
+    @staticmethod
+    def string(key: str) -> str:
+        return key[1:] if key[:1] == "\0" else " " + key
+
+    @staticmethod
+    def parts(key: str) -> list[str] | None:
+        """Keys of chunks that join to this one and are pre-tokenized alone as in it; None if it stays whole.
+
+        A line end between other characters begins a piece, and so do closing marks after letters.
+        """
+        if "\n" in key[2:] and len(pieces := _LINES.split(key)) > 1:
+            return [pieces[0], *("\0" + p for p in pieces[1:])]
+        word = key.rstrip(_MARKS)
+        if len(word) < len(key):
+            letters = word[2:] if word[:2] == "\0\n" else word
+            if letters.isalpha() and max(letters) < "\u0250":
+                return [word, "\0" + key[len(word) :]]
+        return None
 
 
 class RankBPE(ChunkCache):
@@ -151,14 +176,22 @@ class RankBPE(ChunkCache):
                     ids += self.word(word.encode())
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        return self.keep(chunk, np.array(self.chunk(chunk), "<u4").tobytes() if found is None else found)
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            parts = self.parts(key)
+            found = b"".join(map(self.__getitem__, parts)) if parts else np.array(self.chunk(self.string(key)), "<u4").tobytes()
+        if len(key) <= 64:
+            self[key] = found
+        return found
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
-        parts = chunks_of(text or "") if self.cut_at_spaces else [text or ""]
-        return np.frombuffer(b"".join(map(self.__getitem__, parts)), "<u4")
+        self.turn()
+        if not self.cut_at_spaces:
+            return np.array(self.chunk(text or ""), "<u4")
+        first, rest = chunks_of(text or "")
+        return np.frombuffer(self["\0" + first] + b"".join(map(self.__getitem__, rest)), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
@@ -218,6 +251,28 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
     return map_columns(df.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
 
+def tokenized(df: DataFrame, vocabulary: str, carried: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The carried columns, ``n_tokens``, ``ids``, and ``round_trip``: whether the ids decode to the text."""
+
+    def make():
+        bpe = encoder(vocabulary)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            out: dict = {c: batch.column(i) for i, c in enumerate(carried)} | {"n_tokens": [], "ids": [], "round_trip": []}
+            for t in batch.column(len(carried)):
+                t = t.as_py() or ""
+                ids = bpe.encode(t)
+                out["n_tokens"].append(len(ids))
+                out["ids"].append(ids.astype(np.int32))
+                out["round_trip"].append(bpe.decode(ids.tolist()) == t)
+            return out
+
+        return step
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
+    return map_columns(df.select(*carried, text), f"{kinds}, n_tokens long, ids array<int>, round_trip boolean", make)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` through the rank-array encoder and back."""
     import public_tokenizers

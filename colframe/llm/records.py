@@ -84,7 +84,7 @@ def opened(path: str):
 
 
 class LibraryEncoder(ChunkCache):
-    """The tokenizers library behind a bounded cache of space-led chunks."""
+    """The tokenizers library behind a bounded cache of chunks; ids as bytes of ``kind``."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -94,18 +94,47 @@ class LibraryEncoder(ChunkCache):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = self.library.get_vocab_size()
+        self.kind = "<u4" if self.library.get_vocab_size() > 0x10000 else "<u2"
+        self.new: set[str] = set()
+
+    def __missing__(self, key: str) -> bytes | None:
+        """The ids, or None and the chunk is asked for."""
+        found = self.old.get(key)
+        if found is None:
+            if not (parts := self.parts(key)):
+                self.new.add(key)
+                return None
+            each = list(map(self.__getitem__, parts))
+            if None in each:
+                return None
+            found = b"".join(each)
+        self[key] = found
+        return found
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts; only chunks not met before go to the library."""
-        cut = [chunks_of(t or "") for t in texts]
-        met = {c: x for parts in cut for c in parts if (x := self.get(c) or self.old.get(c)) is not None}
-        new = list({c for parts in cut for c in parts if c not in met})
-        met.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
-        for c, ids in met.items():
-            if c not in self:
-                self.keep(c, ids)
-        return [np.frombuffer(b"".join(map(met.__getitem__, parts)), "<u4") for parts in cut]
+        """Ids of whole texts; chunks not met before go to the library together."""
+        self.turn()
+        keys, ids = [], []
+        for text in texts:
+            first, rest = chunks_of(text or "")
+            rest.insert(0, "\0" + first)
+            keys.append(rest)
+            ids.append(list(map(self.__getitem__, rest)))
+        new = list(self.new)
+        self.new.clear()
+        made = self.library.encode_batch_fast(list(map(self.string, new)), add_special_tokens=False)
+        self.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in made)))
+        for key, found in zip(keys, ids):
+            for at in [i for i, x in enumerate(found) if x is None]:
+                found[at] = self[key[at]]
+        whole = [np.frombuffer(b"".join(found), self.kind) for found in ids]
+        for rest in keys:
+            if len(rest[0]) > 64:
+                self.pop(rest[0], None)
+        for c in new:
+            if len(c) > 64:
+                self.pop(c, None)
+        return whole
 
 
 @lru_cache(maxsize=2)
@@ -124,8 +153,8 @@ def write_records(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = library_encoder(vocabulary)
-        wide = tok.size > 0x10000 or end_id > 0xFFFF
-        number, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
+        wide = tok.kind == "<u4" or end_id > 0xFFFF
+        number, end = TaskContext.get().partitionId(), np.array([end_id], "<u4" if wide else tok.kind)
         store, base = opened(folder)
         store.create_dir(base, recursive=True)
         file, mine = f"{base}/part-{number:06d}.rec", f".{uuid.uuid4().hex}"
