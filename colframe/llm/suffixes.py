@@ -14,8 +14,9 @@ smallest level; levels of similar size merge, so that there are
 logarithmically many.  The index holds the first suffix of each context only.
 
 * A suffix whose whole context came earlier: all strings through it did.
-* A prefix with several contexts: their bytes are fetched and compared string
-  by string.  Prefixes with over ``DENSE`` contexts (a passage that very many
+* Suffixes of one prefix that also share the bytes on one side of it, as two
+  with a string in common do: their bytes are fetched and compared string by
+  string.  Prefixes with over ``DENSE`` contexts (a passage that very many
   documents share has such at its edges) are compared by the hash of each
   string in a distributed aggregate instead.
 
@@ -47,6 +48,8 @@ PREFIX = 32
 BEFORE = LENGTH - PREFIX
 PLACES = BEFORE + 1
 WIDTH = BEFORE + LENGTH
+#: A string through a sampled suffix has so many bytes before it, or after its prefix.
+SIDE = BEFORE // 2
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 15
 #: Contexts of one prefix that a task compares itself.
@@ -77,7 +80,8 @@ def _sliding(x: np.ndarray, size: int, op) -> np.ndarray:
 
 
 def sampled(pieces: list[tuple[int, int, int, bytes, int, int]]) -> tuple[np.ndarray, ...]:
-    """Sampled suffixes of pieces of texts: ``(text number, offset, prefix hash, context hash)``.
+    """Sampled suffixes of pieces of texts: text number, offset, bytes after it (up to ``LENGTH``), prefix hash,
+    context hash, and two 32-bit hashes of its sides (0: shorter than ``SIDE``).
 
     A piece is ``(text number, its text's length, its offset, bytes, first, last)``; strings of ``LENGTH`` bytes
     are considered that start in ``[first, last)`` of the text, and the piece has their contexts.
@@ -100,7 +104,10 @@ def sampled(pieces: list[tuple[int, int, int, bytes, int, int]]) -> tuple[np.nda
     offset = found - starts[piece] + of[:, 2]
     left, right = np.minimum(offset, BEFORE), np.minimum(of[:, 1] - offset, LENGTH)
     context = mixed((sums[found + right] - sums[found - left]) * _INVERSE[found - left]) + (left * 512 + right).astype(np.uint64)
-    return of[:, 0], offset, h[found], mixed(context)
+    a, b = found - np.where(left >= SIDE, SIDE, 0), found + np.where(right >= PREFIX + SIDE, PREFIX + SIDE, 0)
+    before, after = (mixed((sums[y] - sums[x]) * _INVERSE[x]) for x, y in ((a, found), (found, b)))
+    sides = (before >> np.uint64(32) | np.uint64(1)) * (a < found) << np.uint64(32) | (after >> np.uint64(32) | np.uint64(1)) * (b > found)
+    return of[:, 0], offset, right, h[found], mixed(context), sides
 
 
 def pieces_of(number: int, text: bytes) -> Iterator[tuple[int, int, int, bytes, int, int]]:
@@ -128,8 +135,8 @@ def spans_by(number: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
         yield int(number[a]), np.stack(merged(starts[a:b], ends[a:b]), 1).astype("<i8").tobytes()
 
 
-#: key: prefix hash of a suffix, or anything for spans; at: offset, or -1 for spans.
-_SAMPLES = "key long, context long, doc long, tie long, at long, size long, spans binary"
+#: key: prefix hash of a suffix, or anything for spans; at: offset * 128 + bytes after it, or -1 for spans.
+_SAMPLES = "key long, context long, sides long, doc long, tie long, at long, spans binary"
 #: Spans of a document, or (``key`` not NULL) a suffix whose prefix has several contexts.
 _FOUND = "doc long, tie long, key long, at long, spans binary"
 
@@ -144,13 +151,12 @@ def _sample(schema: pa.Schema):
         doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         rank = np.lexsort((tie, doc))
         doc, tie = doc[rank], tie[rank]
-        sizes, waiting, held, out = np.zeros(len(doc), np.int64), [], 0, []
+        waiting, held, out = [], 0, []
         repeated = np.r_[False, (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1])]
         for i, r in enumerate(rank.tolist()):
             if repeated[i]:
                 continue
             text = (batch.column(2)[r].as_py() or "").encode()
-            sizes[i] = len(text)
             for p in pieces_of(i, text):
                 waiting.append(p)
                 held += len(p[3])
@@ -161,22 +167,22 @@ def _sample(schema: pa.Schema):
             out.append(sampled(waiting))
         if not out:
             return
-        number, offset, key, context = (np.concatenate(x) for x in zip(*out))
+        number, offset, right, key, context, sides = (np.concatenate(x) for x in zip(*out))
         same_place = np.r_[False, (number[1:] == number[:-1]) & (offset[1:] == offset[:-1])]  # seen from two pieces
         if same_place.any():
-            number, offset, key, context = (x[~same_place] for x in (number, offset, key, context))
+            number, offset, right, key, context, sides = (x[~same_place] for x in (number, offset, right, key, context, sides))
         order = np.argsort(key ^ (context << np.uint64(1)), kind="stable")
         k, c = key[order], context[order]
         again = np.r_[False, (k[1:] == k[:-1]) & (c[1:] == c[:-1])]
         first, later = np.sort(order[~again]), order[again]
-        rows = [spans for spans in spans_by(number[later], offset[later] - np.minimum(offset[later], BEFORE), offset[later] + np.minimum(sizes[number[later]] - offset[later], LENGTH))]
-        m = len(first)
-        at = np.array([r[0] for r in rows], np.int64)
-        ints = lambda a, b: pa.array(np.r_[a, b])
+        rows = list(spans_by(number[later], offset[later] - np.minimum(offset[later], BEFORE), offset[later] + right[later]))
+        m, at = len(first), np.array([r[0] for r in rows], np.int64)
+        none = np.zeros(len(at), np.int64)
+        both = lambda x, y: pa.array(np.r_[x.view(np.int64), y.view(np.int64)])
         yield pa.RecordBatch.from_arrays(
             [
-                ints(key[first].view(np.int64), mixed(doc[at].view(np.uint64)).view(np.int64)), ints(context[first].view(np.int64), np.zeros(len(at), np.int64)), ints(doc[number[first]], doc[at]), ints(tie[number[first]], tie[at]),
-                ints(offset[first], np.full(len(at), -1)), ints(sizes[number[first]], np.zeros(len(at), np.int64)), pa.array([None] * m + [r[1] for r in rows], pa.binary()),
+                both(key[first], mixed(doc[at].view(np.uint64))), both(context[first], none), both(sides[first], none), both(doc[number[first]], doc[at]), both(tie[number[first]], tie[at]),
+                both(offset[first] * 128 + right[first], none - 1), pa.array([None] * m + [r[1] for r in rows], pa.binary()),
             ], schema=schema,
         )
 
@@ -197,11 +203,11 @@ class Levels:
             found |= level["pairs"][at] == pairs
         return found
 
-    def tell(self, keys: np.ndarray) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
-        """Which of these sorted prefixes stand in a level, and the suffixes with them that were not told before."""
-        known, told = np.zeros(len(keys), bool), []
+    def tell(self, codes: np.ndarray) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
+        """Which of these sorted codes stand in a level, and the suffixes with them that were not told before."""
+        known, told = np.zeros(len(codes), bool), []
         for level in self.levels:
-            lo, hi = np.searchsorted(level["key"], keys, "left"), np.searchsorted(level["key"], keys, "right")
+            lo, hi = np.searchsorted(level["codes"], codes, "left"), np.searchsorted(level["codes"], codes, "right")
             known |= hi > lo
             n = hi - lo
             at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -213,10 +219,10 @@ class Levels:
 
     def add(self, level: dict[str, np.ndarray]) -> None:
         self.levels.append(level)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]["key"]) > len(self.levels[-2]["key"]):
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]["codes"]) > len(self.levels[-2]["codes"]):
             a, b = self.levels.pop(), self.levels.pop()
             both = {c: np.concatenate((a[c], b[c])) for c in a}
-            order = np.argsort(both["key"], kind="stable")
+            order = np.argsort(both["codes"], kind="stable")
             self.levels.append({c: np.sort(x, kind="stable") if c == "pairs" else x[order] for c, x in both.items()})
 
 
@@ -225,46 +231,50 @@ def _scan(schema: pa.Schema):
         index = Levels()
         last = None
         for batch in batches:
-            key, context, doc, tie, at, size = (batch.column(i).to_numpy() for i in range(6))
+            key, context, sides, doc, tie, at = (batch.column(i).to_numpy() for i in range(6))
             spans = np.flatnonzero(at < 0)
             if len(spans):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[spans]), pa.array(tie[spans]), pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.int64()), batch.column(6).take(pa.array(spans))], schema=schema)
             keep = at >= 0
-            key, context, doc, tie, at, size = (x[keep] for x in (key.view(np.uint64), context.view(np.uint64), doc, tie, at, size))
+            key, context, sides, doc, tie, at = (x[keep] for x in (key.view(np.uint64), context.view(np.uint64), sides.view(np.uint64), doc, tie, at))
             if not len(key):
                 continue
             pairs = mixed(key) ^ context
             place = np.stack((doc, tie, at, pairs.view(np.int64)))
             fresh = np.r_[last is None or bool((place[:, 0] != last).any()), (place[:, 1:] != place[:, :-1]).any(0)]  # else a repeated row's
             last = place[:, -1]
-            key, pairs, doc, tie, at, size = (x[fresh] for x in (key, pairs, doc, tie, at, size))
+            key, pairs, sides, doc, tie, right, at = (x[fresh] for x in (key, pairs, sides, doc, tie, at & 127, at >> 7))
+            if not len(key):
+                continue
             order = np.argsort(pairs, kind="stable")
             again = np.zeros(len(key), bool)
             again[order[1:]] = pairs[order[1:]] == pairs[order[:-1]]
             known = index.has(pairs)
             dup = again | known
             if dup.any():
-                a, n = at[dup], size[dup]
-                d, t = doc[dup], tie[dup]
+                a, d, t = at[dup], doc[dup], tie[dup]
                 number = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-                rows = list(spans_by(number, a - np.minimum(a, BEFORE), a + np.minimum(n - a, LENGTH)))
+                rows = list(spans_by(number, a - np.minimum(a, BEFORE), a + right[dup]))
                 who = np.unique(number, return_index=True)[1][[r[0] for r in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(d[who]), pa.array(t[who]), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
-            new = np.flatnonzero(~(again | known))
-            new = new[np.argsort(key[new], kind="stable")]
-            k = key[new]
-            inside = np.zeros(len(k), bool)
-            if len(k):
-                inside[1:] |= k[1:] == k[:-1]
-                inside[:-1] |= k[1:] == k[:-1]
-                unique, back = np.unique(k, return_inverse=True)
+            new = np.flatnonzero(~dup)
+            if len(new):
+                lo, hi = sides[new] & np.uint64(0xFFFFFFFF), sides[new] >> np.uint64(32)
+                codes = np.r_[mixed(key[new] + lo * np.uint64(_BASE))[lo > 0], mixed(key[new] ^ hi * np.uint64(_BASE))[hi > 0]]
+                rows = np.r_[new[lo > 0], new[hi > 0]]
+                order = np.argsort(codes, kind="stable")
+                codes, rows = codes[order], rows[order]
+                twin = np.r_[codes[1:] == codes[:-1], False]
+                twin[1:] |= twin[:-1].copy()
+                unique, back = np.unique(codes, return_inverse=True)
                 there, told = index.tell(unique)
-                tell = inside | there[back]
+                tell = twin | there[back]
+                level = {"codes": codes, "pairs": np.sort(pairs[new]), "key": key[rows], "doc": doc[rows], "tie": tie[rows], "at": at[rows], "told": tell}
                 if tell.any():
-                    told.append({"doc": doc[new][tell], "tie": tie[new][tell], "at": at[new][tell], "key": k[tell]})
+                    told.append({c: level[c][tell] for c in ("doc", "tie", "at", "key")})
                 for x in told:
                     yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["tie"]), pa.array(x["key"].view(np.int64)), pa.array(x["at"]), pa.nulls(len(x["key"]), pa.binary())], schema=schema)
-                index.add({"key": k, "pairs": np.sort(pairs[new]), "doc": doc[new], "tie": tie[new], "at": at[new], "told": tell})
+                index.add(level)
 
     return run
 
@@ -306,6 +316,9 @@ def _resolve(schema: pa.Schema):
     """Spans of the strings that came earlier, from contexts in the order of prefix and place."""
 
     def spans(key: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, hashes: np.ndarray, real: np.ndarray) -> pa.RecordBatch | None:
+        place = np.stack((key, doc, tie, at))
+        once = np.r_[True, (place[:, 1:] != place[:, :-1]).any(0)]  # a suffix can be told for both of its sides
+        key, doc, tie, at, hashes, real = (x[once] for x in (key, doc, tie, at, hashes, real))
         groups = mixed(hashes ^ mixed(key.view(np.uint64)[:, None] + np.arange(PLACES).astype(np.uint64)))
         row, o = np.nonzero(real)
         flat = groups[row, o]
@@ -379,17 +392,20 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", dense: int =
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arrow = lambda x: to_arrow(spark, x)
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    twice = not df.groupBy(key).count().filter("count > 1").isEmpty()
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), (F.xxhash64(text) if twice else F.lit(0).cast("long")).alias("tie"), F.col(text).alias("text"))
     samples = docs.mapInArrow(_sample(arrow(_SAMPLES)), _SAMPLES).repartition(parts, "key").sortWithinPartitions("doc", "tie", "at", "key", "context")
     found = written(samples.mapInArrow(_scan(arrow(_FOUND)), _FOUND), "suffixes")
     asked = found.filter("key is not null").select("doc", "tie", F.struct("key", "at").alias("q")).groupBy("doc", "tie").agg(F.collect_list("q").alias("asked"))
-    contexts = docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_fetch(arrow(_CONTEXTS)), _CONTEXTS).distinct()
+    contexts = docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_fetch(arrow(_CONTEXTS)), _CONTEXTS)
     many = found.filter("key is not null").groupBy("key").count().filter(F.col("count") > dense).select("key")
+    dense_ones = not many.isEmpty()
     spans_schema = "doc long, tie long, spans binary"
-    some, none = (contexts.join(many, "key", how) for how in ("left_semi", "left_anti"))
-    direct = none.repartition(parts, "key").sortWithinPartitions("key", "doc", "tie", "at").mapInArrow(_resolve(arrow(spans_schema)), spans_schema)
+    direct = contexts.join(many, "key", "left_anti") if dense_ones else contexts
+    direct = direct.repartition(parts, "key").sortWithinPartitions("key", "doc", "tie", "at").mapInArrow(_resolve(arrow(spans_schema)), spans_schema)
     spans = found.filter("key is null").select("doc", "tie", "spans").union(direct)
-    if not many.isEmpty():
+    if dense_ones:
+        some = contexts.join(many, "key", "left_semi")
         schema = "key long, string long, o int, doc long, tie long, start long"
         each = some.mapInArrow(_strings(arrow(schema)), schema)
         least = each.groupBy("key", "string", "o").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
