@@ -20,8 +20,9 @@ removed if an equal one, or another text within the threshold, stands earlier
 (by doc_id, then line); what is removed is judged on the input.  Lines are
 compared without outer blanks; blank lines stay.
 
-Text is moved once, by document, to look up the lines that met and again (the
-same exchange) to write what is kept.
+The texts of lines that met are looked up by their hashes, which are sent to
+all tasks while they are ``SMALL`` in number and meet the lines in a shuffle
+beyond that.  Whole texts are moved once, to write what is kept.
 
 Defined cases: NULL text stays NULL and has no lines; NULL ids come last in
 order; rows with equal id and text have the same place and keep the same
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import BLANKS, documents, fresh, let
+from colframe.llm.common import BLANKS, documents, fresh, let, written
 
 #: Most edits between near-duplicate lines.
 THRESHOLD = 1
@@ -42,6 +43,8 @@ LEAST_CHARS = 20
 #: Different lines that may meet in one index entry and still be compared with each other.
 DENSE = 32
 BLOCKS = 16
+#: Line hashes (of 8 bytes) that may be sent to all tasks.
+SMALL = 2_000_000
 
 
 def segment_bounds(length: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -144,16 +147,28 @@ def without_some(line: Column, threshold: int) -> Column:
     return F.array_distinct(every)
 
 
-def _met(rows: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` of lines that meet in an entry, and the lines of entries with too many to be paired."""
-    counted = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count("*").alias("n")).filter("least != most").select("key", "n")
+def _met(rows: DataFrame, dense: int) -> DataFrame:
+    """Pairs ``(a, b)`` of lines that meet in an entry, and ``(h, NULL)`` for lines of entries with too many to be paired.
+
+    Everything is done where the rows were sent by key: they move once.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key").groupBy("key", "h").agg(F.min("probe").alias("probe"))
+    counted = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     some = rows.join(counted, "key")
     few = some.filter(F.col("n") <= dense)
     left = few.filter(~F.col("probe")).select("key", F.col("h").alias("a"))
     right = few.select("key", F.col("h").alias("b"), "probe")
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, some.filter(F.col("n") > dense).select("h").distinct()
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many = some.filter(F.col("n") > dense).select(F.col("h").alias("a"), F.lit(None).cast("long").alias("b"))
+    return written(pairs.union(many).distinct(), "met")
+
+
+def _only(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines with a hash in ``found (h)``: sent to all tasks if it is small, else met in a shuffle."""
+    small = found.count() <= SMALL
+    return lines.join(F.broadcast(found) if small else found.hint("shuffle_merge"), "h", "left_semi")
 
 
 def line_table(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -167,22 +182,21 @@ def decided(df: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_
     """``df`` in a column ``record`` with ``n_lines``, ``n_exact`` and ``n_near`` removed, and ``kept`` (the text)."""
     lines = line_table(df, text, key)
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "line")
-    firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("length").alias("length"))
-    entries = lines.filter(F.col("length") >= least_chars).select("h", F.explode(filed(F.col("words"), F.col("length"), threshold)).alias("x")).select("x.key", "h", "x.probe").distinct()
-    pairs, many = _met(entries, dense)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(many).distinct()
-    asked = firsts.filter(F.col("length") >= least_chars).join(asked, "h").select("h", "at")
-    by_doc = asked.groupBy(F.col("at.doc").alias("doc"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+    long_ = lines.filter(F.col("length") >= least_chars)
+    met = _met(long_.select("h", F.explode(filed(F.col("words"), F.col("length"), threshold)).alias("x")).select("x.key", "h", "x.probe"), dense)
+    asked = written(met.select(F.explode(F.array("a", "b")).alias("h")).filter("h is not null").distinct(), "asked")
+    told = written(_only(long_, asked).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told")
+    many = met.filter("b is null").select(F.col("a").alias("h"))
+    close = _pairs_of(told.join(many, "h", "left_semi").select("h", F.explode(without_some(F.col("words"), threshold)).alias("key")))
+    a, b = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h", "h2", "at", "words"))) for s in "ab")
+    pairs = met.filter("b is not null").union(close).distinct()
+    checked = pairs.join(a, F.col("a") == F.col("h_a")).join(b, F.col("b") == F.col("h_b")).filter(verified(F.col("words_a"), F.col("words_b"), threshold))
+    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("h_a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("h2_b").alias("h2")))
+    near = written(checked.select(later.alias("x")).select("x.h", "x.h2").distinct(), "near").withColumn("near", F.lit(True))
+    firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("at")).join(near, ["h", "h2"], "left")
+    stay = firsts.groupBy(F.col("at.doc").alias("doc"), F.col("at.row").alias("row")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line"))).alias("stay"), F.count("near").alias("n_near"))
     docs = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_"), F.struct(*df.columns).alias("record"))
     same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("row_") == F.col("row"))
-    told = docs.join(by_doc, same).select(F.explode(let(F.split(F.col(f"record.`{text}`"), "\n"), lambda x: F.transform("asked", lambda q: F.struct(q["h"].alias("h"), q["at"].alias("at"), F.btrim(F.get(x, q["at"]["line"]), F.lit(BLANKS)).alias("words"))))).alias("x")).select("x.h", "x.at", "x.words").dropDuplicates(["h", "at"])
-    again = told.join(many, "h", "left_semi").select("h", F.explode(without_some(F.col("words"), threshold)).alias("key"), F.lit(False).alias("probe"))
-    close = _pairs_of(again)
-    a, b = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h", "at", "words"))) for s in "ab")
-    checked = pairs.union(close).distinct().join(a, F.col("a") == F.col("h_a")).join(b, F.col("b") == F.col("h_b")).filter(verified(F.col("words_a"), F.col("words_b"), threshold))
-    near = checked.select(F.when(F.col("at_a") > F.col("at_b"), F.col("at_a")).otherwise(F.col("at_b")).alias("at")).distinct().withColumn("near", F.lit(True))
-    stay = firsts.select("at").join(near, "at", "left")
-    stay = stay.groupBy(F.col("at.doc").alias("doc"), F.col("at.row").alias("row")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line"))).alias("stay"), F.count("near").alias("n_near"))
     out = docs.join(stay, same, "left")
     whole = F.col(f"record.`{text}`")
     blank = lambda x: F.length(F.btrim(x, F.lit(BLANKS))) == 0
