@@ -193,4 +193,33 @@ def keep(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``: base measures, both distances and the verdict."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance")
-    return judged(documents(spark, sf_dir)).select("row.doc_id", *names)
+    found = judged(documents(spark, sf_dir)).select("row.doc_id", *names)
+    return found.withColumns({c: F.round(c, 6) for c in names[-2:]})
+
+
+def _sql() -> str:
+    count = lambda t, c: f"length({t}) - length(translate({t}, '{c}', ''))"
+    quoted = {k: c.replace("'", "''") for k, c in CLASSES.items()}
+    blank = "[\\x20\\x09-\\x0D]"
+    term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    distance = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ({term('z[1]')} + {term('z[2]')}) / 2))))"
+    classes = ", ".join(["blank", *(count("rest", c) for c in quoted.values()), "length(rest) - (" + " + ".join(count("rest", c) for c in quoted.values()) + ")", "length(t) - blank - length(rest)"])
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '{blank}+'), lambda x: x <> '') AS ws, regexp_replace(t, '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest, length(t) - length(regexp_replace(t, '{blank}+', '', 'g')) AS blank, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+m AS (SELECT doc_id, lang, t, ws, len(ws) AS n_words, length(t) - blank AS word_chars, {count('t', SYMBOLS)} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, [{classes}] AS classes FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM m)),
+o AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+r AS (SELECT doc_id, sum(least({WINDOW}, coalesce(i - p, {WINDOW}))) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM o) GROUP BY 1),
+u AS (SELECT lang, unnest(ws) AS word FROM m),
+k AS (SELECT lang, word, count(*) AS n FROM u WHERE lang IN (SELECT lang FROM d GROUP BY 1 HAVING count(*) >= {LEAST_SHARE} * (SELECT count(*) FROM d)) GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM u GROUP BY word),
+s AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share FROM k),
+c AS (SELECT lang, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM s WHERE share >= {COMMON_SHARE} GROUP BY lang),
+x AS (SELECT lang, classes, length(t) AS chars FROM m WHERE lang IN (SELECT lang FROM c) UNION ALL SELECT NULL, classes, length(t) FROM m),
+q AS (SELECT lang, {'[' + ', '.join(f'sum(classes[{i + 1}]) / sum(chars)' for i in range(len(CLASS_NAMES))) + ']'} AS q FROM x GROUP BY lang),
+j AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, words, list_append(shares, 1 - list_sum(shares)) AS shares, q FROM m LEFT JOIN r ON m.doc_id = r.doc_id JOIN c ON c.lang IS NOT DISTINCT FROM CASE WHEN m.lang IN (SELECT lang FROM c) THEN m.lang END JOIN q ON q.lang IS NOT DISTINCT FROM c.lang),
+p AS (SELECT *, list_transform(classes, lambda v: v / length(t)) AS cp, list_transform(words, lambda v: len(list_filter(ws, lambda y: y = v)) / n_words) AS hits FROM j),
+z AS (SELECT *, {distance('cp', 'q')} AS cd, {distance('list_append(hits, 1 - list_sum(hits))', 'shares')} AS wd, n_words < {FEWEST} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM p)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {LEAST_WORDS} AND (cd > {CHARACTER_LIMIT} OR wd > {WORD_LIMIT}), false) AS kept, round(cd, 6) AS character_distance, round(wd, 6) AS word_distance FROM z"""
+
+
+ORACLE = _sql()

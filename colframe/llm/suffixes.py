@@ -420,3 +420,16 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", dense: int =
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``: its bytes, those removed, their runs, and a digest of the rest."""
     return removed(documents(spark, sf_dir), kept=False)
+
+
+#: For ids that don't repeat; every string of every text, as hexadecimal digits, by its 64-bit hash.
+ORACLE = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, {2 * LENGTH})) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0))) AS i FROM d)),
+f AS (SELECT g, min(doc_id::HUGEINT * 4294967296 + i) AS at FROM g GROUP BY g HAVING count(*) > 1),
+r AS (SELECT g.doc_id, g.i FROM g JOIN f ON g.g = f.g WHERE f.at <> g.doc_id::HUGEINT * 4294967296 + g.i),
+s AS (SELECT *, CASE WHEN i > lag(i) OVER w + {LENGTH} THEN 1 ELSE 0 END AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+v AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM u GROUP BY doc_id, run),
+x AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM v),
+y AS (SELECT x.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM x JOIN d ON x.doc_id = d.doc_id GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN y ON d.doc_id = y.doc_id"""
