@@ -177,7 +177,8 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
             let(word_counts(w, F.col("words")), lambda c: jensen_shannon(_shares(c, F.size(w)), F.col("shares"))).alias("word_distance"),
         ),
     )
-    out = joined.select("row", "classes", measured.alias("x"), duplicate_lines(t).alias("n_dup_lines"))
+    # a generator, since a filter on its output isn't pushed below it, which would measure again for each use
+    out = joined.select("row", "classes", F.explode(F.array(measured)).alias("x"), duplicate_lines(t).alias("n_dup_lines"))
     characters = let(_shares(F.col("x.m.classes"), F.aggregate("x.m.classes", F.lit(0).cast("long"), lambda a, n: a + n)), lambda p: jensen_shannon(p, F.col("classes")))
     out = out.select("row", "x.m.n_words", "x.m.word_chars", "x.m.n_symbols", "n_dup_lines", "x.n_repeat_words", characters.alias("character_distance"), "x.word_distance")
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
