@@ -44,6 +44,8 @@ REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SHARD_BLOCKS = 4096
 MOST_SHARDS = 4096
+#: Sources whose plan (a row each) may be sent to all tasks; more meet the rows in a shuffle.
+SMALL = 10_000
 #: Rows of a source that one bucket holds on average.
 BUCKET_ROWS = 4000
 
@@ -114,18 +116,19 @@ class Mix:
         self.targets = targets(sizes, weights, repeats)
         self.blocks = quotas(sizes, self.targets, block, repeats)
         rows = [(i, s, size, t, max(1, n // BUCKET_ROWS)) for i, ((s, size, n), t) in enumerate(zip(self.sources, self.targets))]
-        self.plan = spark.createDataFrame(rows, "sid int, _source string, source_size long, target double, buckets int")
+        plan = spark.createDataFrame(rows, "sid int, _source string, source_size long, target double, buckets int")
+        self._plan = lambda *c: F.broadcast(plan.select(*c)) if len(rows) <= SMALL else plan.select(*c).hint("shuffle_merge")
 
     def positions(self, *carried: str) -> DataFrame:
         """Every row: ``sid``, ``start`` (its first word's position in the source), ``size``, ``at`` (unique), and the columns named."""
         df = self.df
         rows = df.select(F.col("doc_id"), F.col("source").alias("_src"), F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64(*df.columns).alias("hash"), F.struct(*carried).alias("row") if carried else F.lit(None).alias("row"))
-        rows = rows.join(self.plan.select("sid", "_source", "buckets"), F.col("_src").eqNullSafe(F.col("_source"))).withColumn("bucket", F.pmod("hash", "buckets")).drop("_src", "_source", "buckets")
+        rows = rows.join(self._plan("sid", "_source", "buckets"), F.col("_src").eqNullSafe(F.col("_source"))).withColumn("bucket", F.pmod("hash", "buckets")).drop("_src", "_source", "buckets")
         here = Window.partitionBy("sid", "bucket").orderBy("doc_id", "hash")
         local = rows.withColumns({"end": F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(here)})
         before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).select("sid", "bucket", "base")
-        return local.join(sums, ["sid", "bucket"]).select("sid", F.struct("bucket", "nth").alias("at"), "doc_id", (F.col("base") + F.col("end") - F.col("size")).alias("start"), "size", "row")
+        return local.join(sums.hint("shuffle_merge"), ["sid", "bucket"]).select("sid", F.struct("bucket", "nth").alias("at"), "doc_id", (F.col("base") + F.col("end") - F.col("size")).alias("start"), "size", "row")
 
     def segments(self) -> DataFrame:
         """The words of each document in each block: ``sid, at, doc_id, block, first`` (word of the document), ``words``."""
@@ -163,14 +166,14 @@ class Mix:
 
     def packed(self) -> DataFrame:
         """The shards' contents by reference: ``shard, sid, place, turn, doc_id, first, words``."""
-        return self.slots().join(self.segments(), ["sid", "block"]).select("shard", "sid", "place", "turn", "doc_id", "first", "words")
+        return self.slots().join(self.segments().hint("shuffle_merge"), ["sid", "block"]).select("shard", "sid", "place", "turn", "doc_id", "first", "words")
 
     def taken(self) -> DataFrame:
         """``(doc_id, size, source_size, target, taken)`` for every row of the table."""
         times = self.slots().groupBy("sid", "block").agg(F.count("*").alias("times"))
-        words = self.segments().join(times, ["sid", "block"]).groupBy("sid", "at").agg(F.sum(F.col("times") * F.col("words")).alias("taken"))
-        rows = self.positions().join(words, ["sid", "at"], "left")
-        return rows.join(self.plan.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        words = self.segments().join(times.hint("shuffle_merge"), ["sid", "block"]).groupBy("sid", "at").agg(F.sum(F.col("times") * F.col("words")).alias("taken"))
+        rows = self.positions().join(words.hint("shuffle_merge"), ["sid", "at"], "left")
+        return rows.join(self._plan("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def mixed(self) -> DataFrame:
         """The mix in the columns of the table: a row for each document and round, with the words taken then.
@@ -179,9 +182,9 @@ class Mix:
         order, joined by spaces.  ``n_chars``, where there is one, is the new text's length.
         """
         df = self.df
-        parts = self.slots().select("sid", "block", "turn").join(self.segments(), ["sid", "block"])
+        parts = self.slots().select("sid", "block", "turn").join(self.segments().hint("shuffle_merge"), ["sid", "block"])
         parts = parts.groupBy("sid", "at", "turn").agg(F.sum("words").alias("sum"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
-        rows = self.positions(*df.columns).filter("size > 0").join(parts, ["sid", "at"])
+        rows = self.positions(*df.columns).filter("size > 0").join(parts.hint("shuffle_merge"), ["sid", "at"])
         pieces = let(words_of(F.col("row.text")), lambda w: F.transform("parts", lambda p: F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int"))))
         text = F.when(F.col("sum") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.flatten(pieces), " "))
         rows = rows.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c != "text"), text.alias("text"))
