@@ -150,12 +150,12 @@ def without_some(line: Column, threshold: int) -> Column:
 def _met(rows: DataFrame, dense: int) -> DataFrame:
     """Pairs ``(a, b)`` of lines that meet in an entry, and ``(h, NULL)`` for lines of entries with too many to be paired.
 
-    Everything is done where the rows were sent by key: they move once.
+    The entries move once: they are counted and picked out where they were sent by key.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").groupBy("key", "h").agg(F.min("probe").alias("probe"))
-    counted = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    some = rows.join(counted, "key")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("probes")).filter("n > 1 and not probes").select("key", "n")
+    some = written(rows.join(counted, "key"), "entries")
     few = some.filter(F.col("n") <= dense)
     left = few.filter(~F.col("probe")).select("key", F.col("h").alias("a"))
     right = few.select("key", F.col("h").alias("b"), "probe")
@@ -228,3 +228,15 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``: its lines, how many are removed, and a digest of the rest."""
     found = decided(documents(spark, sf_dir))
     return found.select("record.doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: For ids and rows that don't repeat. One edit leaves the first or the last 9 characters of 20 alone.
+ORACLE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM l),
+f AS (SELECT x, min({{'d': doc_id, 'k': k}}) AS at FROM t WHERE x <> '' GROUP BY x),
+e AS (SELECT * FROM f WHERE length(x) >= {LEAST_CHARS}),
+p AS (SELECT a.x, b.x AS y FROM e a JOIN e b ON left(a.x, 9) = left(b.x, 9) AND a.at > b.at UNION SELECT a.x, b.x FROM e a JOIN e b ON right(a.x, 9) = right(b.x, 9) AND a.at > b.at),
+n AS (SELECT DISTINCT x FROM p WHERE CASE WHEN abs(length(x) - length(y)) > {THRESHOLD} THEN false ELSE levenshtein(x, y) <= {THRESHOLD} END),
+j AS (SELECT t.doc_id, t.k, t.raw, t.x <> '' AS line, t.x <> '' AND f.at <> {{'d': t.doc_id, 'k': t.k}} AS exact, t.x <> '' AND f.at = {{'d': t.doc_id, 'k': t.k}} AND t.x IN (SELECT x FROM n) AS near FROM t LEFT JOIN f ON t.x = f.x),
+o AS (SELECT doc_id, count(*) FILTER (WHERE line) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near, string_agg(raw, chr(10) ORDER BY k) FILTER (WHERE NOT coalesce(exact, false) AND NOT near) AS kept FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id"""

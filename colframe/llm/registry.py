@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_lines": lines.ORACLE,
+    "op5_quality": quality.ORACLE,
+    "op9_suffixes": suffixes.ORACLE,
     "op8_licences": licences.ORACLE,
 }
