@@ -12,9 +12,9 @@ checksum of that data.  Beside each file, ``.idx`` has for each record its
 byte offset and the ids before it in the file (two u64), so that readers can
 fetch records in any order.
 
-One range partition of document ids makes one file, so files in order of
-their number hold the documents in ascending id (NULL ids first, ties by
-text).  A task writes under a name of its own and renames at the end: a
+Document ids are cut into ranges at quantiles, and each range makes one file,
+so files in order of their number hold the documents in ascending id (NULL
+ids first, ties by text).  A task writes under a name of its own and renames at the end: a
 repeated or speculative task leaves one whole file.
 
 Defined cases: NULL or empty text: a record with the end id alone; rows with
@@ -27,22 +27,22 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colframe.llm.bpe import ChunkCache, chunks_of
-from colframe.llm.common import documents, scratch, to_arrow
+from colframe.llm.common import documents, scratch, slices, to_arrow
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
 #: Records that one reading task fetches.
-READ_RECORDS = 8192
+READ_RECORDS = 4096
 
 
 def masked_crc(data: bytes) -> int:
@@ -123,7 +123,8 @@ class LibraryEncoder(ChunkCache):
         new = list(self.new)
         self.new.clear()
         made = self.library.encode_batch_fast(list(map(self.string, new)), add_special_tokens=False)
-        self.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in made)))
+        kind = "I" if self.kind == "<u4" else "H"
+        self.update(zip(new, [array(kind, e.ids).tobytes() for e in made]))
         for key, found in zip(keys, ids):
             for at in [i for i, x in enumerate(found) if x is None]:
                 found[at] = self[key[at]]
@@ -145,7 +146,7 @@ def library_encoder(path: str) -> LibraryEncoder:
 def write_records(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes the files and returns their manifest: number, file, records, ids, first id's position.
 
-    The manifest has one row a file; there are as many files as shuffle partitions at most.
+    The manifest has one row a file; there are as many files as twice the shuffle partitions at most.
     """
     spark = df.sparkSession
     schema = "number int, file string, records long, ids long"
@@ -154,31 +155,40 @@ def write_records(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = library_encoder(vocabulary)
         wide = tok.kind == "<u4" or end_id > 0xFFFF
-        number, end = TaskContext.get().partitionId(), np.array([end_id], "<u4" if wide else tok.kind)
+        end, mine = np.array([end_id], "<u4" if wide else tok.kind), f".{uuid.uuid4().hex}"
         store, base = opened(folder)
         store.create_dir(base, recursive=True)
-        file, mine = f"{base}/part-{number:06d}.rec", f".{uuid.uuid4().hex}"
-        at = records = ids_before = 0
-        out = index = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), tok.encode_all(part.column(1).to_pylist())):
-                    if out is None:
-                        out, index = store.open_output_stream(file + mine), store.open_output_stream(file + ".idx" + mine)
-                    ids = np.append(ids, end)
-                    out.write(record := frame(pack(doc_id, ids, wide)))
-                    index.write(struct.pack("<QQ", at, ids_before))
-                    at, records, ids_before = at + len(record), records + 1, ids_before + len(ids)
-        if out is not None:
+        number, out, index, done = None, None, None, []
+
+        def close() -> None:
             out.close()
             index.close()
             store.move(file + ".idx" + mine, file + ".idx")
             store.move(file + mine, file)
-            yield pa.RecordBatch.from_pylist([{"number": number, "file": file, "records": records, "ids": ids_before}], schema=target)
-
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(F.col(key).cast("long"), text).repartitionByRange(files, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+            done.append({"number": number, "file": file, "records": records, "ids": ids_before})
+
+        for part in slices(batches):
+            for block, doc_id, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tok.encode_all(part.column(2).to_pylist())):
+                if block != number:
+                    if out is not None:
+                        close()
+                    number, at, records, ids_before = block, 0, 0, 0
+                    file = f"{base}/part-{number:06d}.rec"
+                    out, index = store.open_output_stream(file + mine), store.open_output_stream(file + ".idx" + mine)
+                ids = np.append(ids, end)
+                out.write(record := frame(pack(doc_id, ids, wide)))
+                index.write(struct.pack("<QQ", at, ids_before))
+                at, records, ids_before = at + len(record), records + 1, ids_before + len(ids)
+        if out is not None:
+            close()
+            yield pa.RecordBatch.from_pylist(done, schema=target)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 2 * parts
+    cuts = sorted({int(c) for c in df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))})
+    id_ = F.col(key).cast("long")
+    block = F.when(id_.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= id_)))
+    ordered = df.select(block.alias("block"), id_.alias("id"), F.col(text).alias("text")).repartition(parts, "block").sortWithinPartitions("block", F.col("id").asc_nulls_first(), "text")
     made = sorted(map(tuple, ordered.mapInArrow(run, schema).collect()))
     starts = np.cumsum([0, *(m[3] for m in made)]).tolist()
     return spark.createDataFrame([(*m, s) for m, s in zip(made, starts)], schema + ", start long")
@@ -199,18 +209,15 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                 f.seek(16 * row["first"])
                 index = np.frombuffer(f.read(16 * (step + 1)), "<u8").reshape(-1, 2)
             with store.open_input_file(row["file"]) as f:
-                end = int(index[step, 0]) if len(index) > step else f.size()
-                at = int(index[0, 0])
-                f.seek(at)
-                out: list[dict] = []
-                for i, (begin, before) in enumerate(index[:step].tolist()):
-                    stop = int(index[i + 1, 0]) if i + 1 < len(index) else end
-                    payload, _ = unframe(f.read(stop - begin), 0)
-                    doc_id, ids = unpack(payload)
-                    out.append({"doc_id": doc_id, "start": row["start"] + before, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())})
-                yield pa.RecordBatch.from_pylist(out, schema=target)
-
-    tasks = max(1, min(4096, manifest.count() * 2))
+                begin = int(index[0, 0])
+                f.seek(begin)
+                data = memoryview(f.read((int(index[step, 0]) if len(index) > step else f.size()) - begin))
+            index = index[:step].astype(np.int64)
+            found = [unpack(unframe(data, at)[0]) for at in (index[:, 0] - begin).tolist()]
+            sums = [zlib.crc32(ids.astype("<u4")) for _, ids in found]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array(index[:, 1] + row["start"]), pa.array([len(x) for _, x in found], pa.int64()), pa.array(sums, pa.int64())], schema=target)
+
+    tasks = max(1, min(4096, manifest.count()))
     return ranges.repartition(tasks, "file", "first").mapInArrow(run, schema)
 
 
