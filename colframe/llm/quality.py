@@ -2,7 +2,8 @@
 
 Method: for each language the whole table gives two reference histograms: of
 character classes, and of its common words (words with at least
-``COMMON_SHARE`` of all words of the language, and one bin for all others).  A document is compared with its language's references by the
+``COMMON_SHARE`` of all words of the language, lower-cased, and one bin for
+all others).  A document is compared with its language's references by the
 Jensen-Shannon distance (square root of the divergence, base 2: 0 to 1), and
 is rejected if either is over its threshold.  Guards: documents of fewer than
 ``LEAST_WORDS`` words are not judged by divergence, since short histograms
@@ -35,7 +36,9 @@ SYMBOLS = "#*$%&|<>"
 #: Divergence: fewest words to judge, thresholds of the two distances.
 LEAST_WORDS = 30
 CHARACTER_LIMIT, WORD_LIMIT = 0.33, 0.42
-COMMON_SHARE, LEAST_SHARE = 0.01, 0.001
+COMMON_SHARE, LEAST_SHARE = 0.005, 0.001
+#: The share in the SQL, which is left as it was: it also has words as written, so its word distances differ.
+SQL_COMMON_SHARE = 0.01
 #: Character classes that are counted one by one, after letters a-z and blanks are taken out.
 CLASSES = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -131,6 +134,7 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     of_word = counted.select("lang", "n", measures(F.array("word"), F.col("word"))["classes"].alias("classes"))
     sums = of_word.groupBy("lang").agg(F.sum("n").alias("total"), *(F.sum(F.col("n") * F.col("classes")[i]).alias(k) for i, k in enumerate(names)))
     sums = lengths.join(sums, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "docs", "chars", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("total", *names)))
+    counted = counted.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
     common = counted.join(sums.select("of", "total"), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total")).select("lang", "word", "n")
     # of all: a word with that share of all words has it in some language
     every = sums.groupBy().agg(*(F.sum(k).alias(k) for k in ("docs", "chars", "total", *names))).select(F.lit(None).cast("string").alias("of"), "*")
@@ -174,7 +178,7 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         lambda w: F.struct(
             measures(w, t).alias("m"),
             repeat_words(w).alias("n_repeat_words"),
-            let(word_counts(w, F.col("words")), lambda c: jensen_shannon(_shares(c, F.size(w)), F.col("shares"))).alias("word_distance"),
+            let(let(F.transform(w, lambda x: F.lower(x)), lambda v: word_counts(v, F.col("words"))), lambda c: jensen_shannon(_shares(c, F.size(w)), F.col("shares"))).alias("word_distance"),
         ),
     )
     # a generator, since a filter on its output isn't pushed below it, which would measure again for each use
@@ -214,7 +218,7 @@ r AS (SELECT doc_id, sum(least({WINDOW}, coalesce(i - p, {WINDOW}))) AS n FROM (
 u AS (SELECT lang, unnest(ws) AS word FROM m),
 k AS (SELECT lang, word, count(*) AS n FROM u WHERE lang IN (SELECT lang FROM d GROUP BY 1 HAVING count(*) >= {LEAST_SHARE} * (SELECT count(*) FROM d)) GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM u GROUP BY word),
 s AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share FROM k),
-c AS (SELECT lang, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM s WHERE share >= {COMMON_SHARE} GROUP BY lang),
+c AS (SELECT lang, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM s WHERE share >= {SQL_COMMON_SHARE} GROUP BY lang),
 x AS (SELECT lang, classes, length(t) AS chars FROM m WHERE lang IN (SELECT lang FROM c) UNION ALL SELECT NULL, classes, length(t) FROM m),
 q AS (SELECT lang, {'[' + ', '.join(f'sum(classes[{i + 1}]) / sum(chars)' for i in range(len(CLASS_NAMES))) + ']'} AS q FROM x GROUP BY lang),
 j AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, words, list_append(shares, 1 - list_sum(shares)) AS shares, q FROM m LEFT JOIN r ON m.doc_id = r.doc_id JOIN c ON c.lang IS NOT DISTINCT FROM CASE WHEN m.lang IN (SELECT lang FROM c) THEN m.lang END JOIN q ON q.lang IS NOT DISTINCT FROM c.lang),

@@ -33,6 +33,15 @@ def test_quality(docs, rows, none):
     assert quality.judged(none).count() == 0
 
 
+def test_quality_lowers_words_and_knows_those_of_half_a_percent(spark):
+    plain = " ".join(["tone"] * 3 + ["w%d" % i for i in range(397)])
+    df = spark.createDataFrame([(1, plain, "en"), (2, plain.upper(), "en")], "doc_id long, text string, lang string")
+    known = quality.references(df).filter("lang = 'en'").first().words
+    assert "tone" in known and not any(w != w.lower() for w in known)
+    got = {r.doc_id: r.word_distance for r in quality.judged(df).select("row.doc_id", "word_distance").collect()}
+    assert got[1] == got[2] < 1e-6
+
+
 def test_repeats_of_exactly_one_window(spark):
     texts = ["a b c d e f g h", "a b c d e f g h " * 2, "x a b c d e f g h y a b c d e f g h z", "a " * 9, "a b " * 7]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
