@@ -1,48 +1,55 @@
 """Operator 4: near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-Method: a line of at least ``LEAST_CHARS`` characters is cut into
-``threshold + 1`` segments.  If two lines are within ``threshold`` edits, one
-segment of the shorter stands unchanged in the longer, near its place: so each
-line files its segments in an index by segment number and line length, and
-probes the indexes of its own length and of up to ``threshold`` shorter ones
-with the substrings that the multi-match-aware rule leaves.  Lines that meet
-are verified: leading and trailing blocks that are equal are taken off, and
-the rest goes through a banded bit-parallel edit distance, one word of
-``2 * threshold + 2`` bits per column.
-
-An index entry that over ``DENSE`` different lines meet in (variants of one
-line, say) is not joined with itself: its lines are filed again by the hashes
-of their strings with up to ``threshold`` characters taken out, which two
-lines within the threshold always share and few others do.
-
-Equal lines are one node throughout, however often they occur.  A line is
-removed if an equal one, or another text within the threshold, stands earlier
-(by doc_id, then line); what is removed is judged on the input.  Lines are
-compared without outer blanks; blank lines stay.
-
-The texts of lines that met are looked up by their hashes, which are sent to
-all tasks while they are ``SMALL`` in number and meet the lines in a shuffle
-beyond that.  Whole texts are moved once, to write what is kept.
+Edits are of words: a line is near another if at most ``THRESHOLD`` words are
+put in, left out or replaced between them, and both have ``LEAST_WORDS`` words
+or more, so that an edit is a tenth of the line at most.  A line is removed if
+an equal one, or a near one of another text, stands earlier (by doc_id, then
+line); what is removed is judged on the input.  Lines are compared without
+outer blanks; blank lines stay.
+
+Method: a line is cut into ``threshold + 1`` segments of words.  If two lines
+are within ``threshold`` edits, one segment of the shorter stands unchanged in
+the longer, near its place: so each line files its segments in an index by
+segment number and line length, and probes the indexes of its own length and of
+up to ``threshold`` shorter ones with the substrings that the multi-match-aware
+rule leaves.  Lines that meet are verified by a banded bit-parallel edit
+distance over their words, one word of ``2 * threshold + 2`` bits per column.
+
+An index entry in which over ``DENSE`` different lines meet (variants of one
+line, or a common beginning of unlike ones) is not joined with itself.  Its
+lines are cut again, into segments of one word, all but one of which stand
+unchanged in a line one edit away: they are filed by the rest of the line
+without each word (and that word's place, for a replaced one), and a line is
+near an earlier one if an earlier one is filed there.  That takes the least
+place of each file, so no pairs are made, and twice as many rows as the line
+has words.  The rests are known by two 64-bit hashes.
+
+Equal lines are one node throughout, however often they occur, and what is
+counted by key is counted before it is sent.  The texts of lines that met are
+looked up by their hashes, which are sent to all tasks while they are ``SMALL``
+in number and meet the lines in a shuffle beyond that.  Whole texts are moved
+once, to write what is kept.
 
 Defined cases: NULL text stays NULL and has no lines; NULL ids come last in
 order; rows with equal id and text have the same place and keep the same
-lines; an empty table gives an empty table; other columns are carried along.
+lines; very long texts, and texts of one very long line, are read whole, in
+time and memory linear in them; an empty table gives an empty table; other
+columns are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colframe.llm.common import BLANKS, documents, fresh, let, written
+from colframe.llm.common import BLANKS, documents, fresh, let, words_of, written
 
-#: Most edits between near-duplicate lines.
+#: Most edits (of words) between near-duplicate lines.
 THRESHOLD = 1
-#: Shorter lines are only compared for equality.
-LEAST_CHARS = 20
+#: Words of a line that may differ in an edit; lines with fewer are only compared for equality.
+LEAST_WORDS = 10
 #: Different lines that may meet in one index entry and still be compared with each other.
 DENSE = 32
-BLOCKS = 16
 #: Line hashes (of 8 bytes) that may be sent to all tasks.
 SMALL = 2_000_000
 
@@ -60,40 +67,41 @@ def segment_bounds(length: Column, threshold: int) -> list[tuple[Column, Column]
     return out
 
 
-def filed(line: Column, length: Column, threshold: int) -> Column:
-    """Index entries and probes of a line: an array of ``(key, probe)``; key hashes segment number, length and text."""
+def filed(words: Column, length: Column, threshold: int) -> list[tuple[Column, bool]]:
+    """Index entries and probes of a line of words: ``(key, probe)``; key hashes segment number, length and words."""
     entries = []
     for shorter in range(threshold + 1):
         for i, (start, size) in enumerate(segment_bounds(length - shorter, threshold), 1):
             left, right = max(-(i - 1), shorter - (threshold + 1 - i)), min(i - 1, shorter + threshold + 1 - i)
             for shift in range(left, right + 1):
-                key = F.xxhash64(F.substring(line, start + shift + 1, size), F.lit(i), length - shorter)
-                entries.append(F.struct(key.alias("key"), F.lit(shorter > 0 or shift != 0).alias("probe")))
-    return F.array(*entries)
+                key = F.xxhash64(F.slice(words, start + shift + 1, size), F.lit(i), length - shorter)
+                entries.append((key, shorter > 0 or shift != 0))
+    return entries
 
 
 def distance_within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two strings are within ``threshold`` edits: banded bit-parallel columns over ``b``.
+    """Whether two arrays are within ``threshold`` edits: banded bit-parallel columns over ``b``.
 
     Bit ``k`` of a word stands for row ``j + threshold - width + 1 + k`` in column ``j``: the band moves down
-    with the column.  The distance is followed down the lowest diagonal to the last row, then along it.
+    with the column.  The distance is followed down the lowest diagonal to the last row, then along it.  Both
+    must have more than ``threshold`` elements.
     """
     width = 2 * threshold + 2
     ones, top = (1 << width) - 1, 1 << width - 1
     word = lambda n: F.lit(n).cast("bigint")
     flip = lambda x: x.bitwiseXOR(word(ones))
 
-    def column(s: Column, j: Column, x: Column, y: Column) -> Column:
-        c = F.get(y, j)
-        match = F.lit(0).cast("bigint")
+    def column(s: Column, j: Column) -> Column:
+        c = F.get(b, j)
+        match = word(0)
         for k in range(width):
             row = j + (threshold - width + 1 + k)
-            match = match + F.when((row >= 0) & (F.get(x, F.greatest(row, F.lit(0))) == c), word(1 << k)).otherwise(word(0))
+            match = match + F.when((row >= 0) & (F.get(a, F.greatest(row, F.lit(0))) == c), word(1 << k)).otherwise(word(0))
         vp, vn = s["vp"], s["vn"]
 
         def rest(d0: Column, hp: Column, hn: Column) -> Column:
             down = F.shiftright(d0, 1)
-            on = F.size(x) - threshold  # columns before the last row comes into the band's lowest bit
+            on = F.size(a) - threshold  # columns before the last row comes into the band's lowest bit
             across = F.call_function("shiftright", word(top), F.least(j - on + 1, F.lit(width - 1)))
             step = F.when(j < on, F.when(d0.bitwiseAND(word(top)) == 0, 1).otherwise(0)).otherwise(F.when(hp.bitwiseAND(across) != 0, 1).when(hn.bitwiseAND(across) != 0, -1).otherwise(0))
             return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["dist"] + step).alias("dist"))
@@ -101,66 +109,36 @@ def distance_within(a: Column, b: Column, threshold: int) -> Column:
         sum_ = lambda m: (m.bitwiseAND(vp) + vp).bitwiseAND(word(ones)).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn)
         return let(let(match, sum_), lambda d0: rest(d0, vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)))
 
-    def run(x: Column, y: Column) -> Column:
-        start = F.struct(word(ones ^ (1 << width - threshold - 1) - 1).alias("vp"), word(0).alias("vn"), F.lit(threshold).alias("dist"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, lambda s, j: column(s, j, x, y))["dist"] <= threshold
+    start = F.struct(word(ones ^ (1 << width - threshold - 1) - 1).alias("vp"), word(0).alias("vn"), F.lit(threshold).alias("dist"))
+    found = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, column)["dist"] <= threshold
+    return F.when(F.abs(F.size(a) - F.size(b)) > threshold, F.lit(False)).otherwise(found)
 
-    characters = lambda s: F.split(s, "")
-    short = F.least(F.length(a), F.length(b)) <= threshold
-    plain = F.levenshtein(a, b) <= threshold  # nothing or a few characters left: no band to speak of
-    return F.when(F.abs(F.length(a) - F.length(b)) > threshold, F.lit(False)).when(short, plain).otherwise(let(F.struct(characters(a).alias("x"), characters(b).alias("y")), lambda p: run(p["x"], p["y"])))
 
-
-def verified(a: Column, b: Column, threshold: int) -> Column:
-    """``distance_within`` after equal leading and trailing blocks are taken off."""
-
-    def trimmed(size: Column, n: Column) -> Column:
-        unlike = lambda equal: F.array_position(F.transform(F.sequence(F.lit(0), n), equal), F.lit(False))
-        front = unlike(lambda i: (i < n) & (F.substring(a, i * size + 1, size) == F.substring(b, i * size + 1, size)))
-        back = unlike(lambda i: (i < n) & (F.substring(a, F.length(a) - (i + 1) * size + 1, size) == F.substring(b, F.length(b) - (i + 1) * size + 1, size)))
-
-        def inner(head: Column, tail: Column) -> Column:
-            cut = lambda s: F.substring(s, head + 1, F.length(s) - head - tail)
-            return distance_within(cut(a), cut(b), threshold)
-
-        def ends(m: Column) -> Column:
-            head = (m["front"] - 1).cast("int") * size
-            tail = F.least((m["back"] - 1).cast("int") * size, F.floor((F.least(F.length(a), F.length(b)) - head) / size).cast("int") * size)
-            ok = inner(head, tail)
-            if threshold > 1:
-                return ok
-            return F.when(F.least(F.length(a), F.length(b)) - head - tail > 3 * size, F.lit(False)).otherwise(ok)
-
-        return let(F.struct(front.alias("front"), back.alias("back")), ends)
-
-    size = F.greatest(F.lit(4), F.ceil(F.least(F.length(a), F.length(b)) / BLOCKS)).cast("int")
-    return let(size, lambda s: trimmed(s, F.floor(F.least(F.length(a), F.length(b)) / s).cast("int")))
-
-
-def without_some(line: Column, threshold: int) -> Column:
-    """Hashes of a line with up to ``threshold`` characters taken out."""
-    found = F.array(line)
-    every = F.array(F.xxhash64(line))
-    for _ in range(threshold):
-        found = F.flatten(F.transform(found, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
-        every = F.concat(every, F.transform(found, lambda s: F.xxhash64(s)))
-    return F.array_distinct(every)
-
-
-def _met(rows: DataFrame, dense: int) -> DataFrame:
-    """Pairs ``(a, b)`` of lines that meet in an entry, and ``(h, NULL)`` for lines of entries with too many to be paired.
-
-    The entries move once: they are counted and picked out where they were sent by key.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").groupBy("key", "h").agg(F.min("probe").alias("probe"))
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("probes")).filter("n > 1 and not probes").select("key", "n")
-    some = written(rows.join(counted, "key"), "entries")
-    few = some.filter(F.col("n") <= dense)
-    left = few.filter(~F.col("probe")).select("key", F.col("h").alias("a"))
-    right = few.select("key", F.col("h").alias("b"), "probe")
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def line_table(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc, row, line, words, h, h2)`` of every line that isn't blank; ``row`` hashes the text, ``h`` and ``h2`` the line."""
+    each = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    each = each.withColumn("words", F.btrim("raw", F.lit(BLANKS))).filter(F.length("words") > 0)
+    return each.select("doc", "row", "line", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"))
+
+
+def _index(lines: DataFrame, threshold: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, h, probe)`` of each different line with enough words, once, and ``(key, n)`` of the keys where lines meet."""
+    hashed = lines.select("h", F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w)).alias("x")).filter(F.size("x") >= least)
+    keys = filed(F.col("x"), F.size("x"), threshold)
+    once = hashed.select("h", *(k.alias(f"k{i}") for i, (k, _) in enumerate(keys))).groupBy("h").agg(*(F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))))
+    once = written(once, "index")
+    each = once.select("h", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(probe).alias("probe")) for i, (_, probe) in enumerate(keys)))).alias("e")).select("e.key", "h", "e.probe")
+    met = each.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("probes")).filter("n > 1 and not probes")
+    return each, written(met.select("key", "n"), "keys")
+
+
+def _met(lines: DataFrame, threshold: int, least: int, dense: int) -> DataFrame:
+    """Pairs ``(a, b)`` of lines that meet in an entry, and ``(h, NULL)`` for lines of entries with too many to be paired."""
+    each, keys = _index(lines, threshold, least)
+    some = each.join(keys, "key")
+    files = some.filter(F.col("n") <= dense).groupBy("key").agg(F.collect_list(F.when(~F.col("probe"), F.col("h"))).alias("own"), F.collect_list("h").alias("every"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = files.select(F.explode(F.flatten(F.transform("own", lambda a: F.transform("every", lambda b: pair(a, b))))).alias("x")).select("x.a", "x.b").filter("a != b")
     many = some.filter(F.col("n") > dense).select(F.col("h").alias("a"), F.lit(None).cast("long").alias("b"))
     return written(pairs.union(many).distinct(), "met")
 
@@ -171,47 +149,74 @@ def _only(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(found) if small else found.hint("shuffle_merge"), "h", "left_semi")
 
 
-def line_table(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc, row, line, h, h2, length)`` of every line that isn't blank; ``row`` hashes the text."""
-    each = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    each = each.withColumn("words", F.btrim("raw", F.lit(BLANKS))).filter(F.length("words") > 0)
-    return each.select("doc", "row", "line", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), F.length("words").alias("length"))
+def _near_pairs(told: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """``(h, h2)`` of the later line of each pair that is near."""
+    a, b = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h", "h2", "at", "words"))) for s in "ab")
+    # arrays are made once a pair, by a generator that isn't merged into the function below it
+    both = pairs.join(a, F.col("a") == F.col("h_a")).join(b, F.col("b") == F.col("h_b"))
+    both = both.select("h_a", "h2_a", "at_a", "h_b", "h2_b", "at_b", F.explode(F.array(F.struct(words_of(F.col("words_a")).alias("x"), words_of(F.col("words_b")).alias("y")))).alias("w"))
+    near = both.filter(distance_within(F.col("w.x"), F.col("w.y"), threshold))
+    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("h_a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("h2_b").alias("h2")))
+    return near.select(later.alias("x")).select("x.h", "x.h2")
+
 
+def _near_dense(told: DataFrame) -> DataFrame:
+    """``(h, h2)`` of the lines of ``told (h, h2, at, words)`` with an earlier one an edit away, from files without a word.
 
-def decided(df: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, dense: int = DENSE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    A line's words are hashed with their places and summed up by exclusive or.  The sum without a word, with
+    its place, is shared by lines that differ in that word (``one``); the sum of a line (``all``) and the sum of a
+    longer one whose words move up after the one left out (``rest``) are shared where it was put in.
+    """
+    each = told.select("h", "h2", "at", F.posexplode(words_of(F.col("words"))).alias("i", "word"))
+    line = Window.partitionBy("h", "h2")
+    before, upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1), line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    xor = lambda *cs: F.reduce(F.array(*cs), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(c))
+    for k in (1, 2):
+        here, up = F.xxhash64(F.lit(k), "i", "word"), F.xxhash64(F.lit(k), F.col("i") - 1, "word")
+        each = each.withColumns({f"here{k}": here, f"up{k}": up})
+    sums = {f"{c}{k}_{name}": F.coalesce(F.bit_xor(f"{c}{k}").over(w), F.lit(0)) for k in (1, 2) for c, name, w in (("here", "all", line), ("up", "all", line), ("here", "before", before), ("up", "upto", upto))}
+    each = each.withColumns(sums | {"n": F.count("*").over(line)})
+    one = F.struct(F.lit("one").alias("role"), F.col("n").alias("size"), F.col("i").alias("place"), *(xor(f"here{k}_all", f"here{k}").alias(f"x{k}") for k in (1, 2)))
+    rest = F.struct(F.lit("rest").alias("role"), (F.col("n") - 1).alias("size"), F.lit(-1).alias("place"), *(xor(f"here{k}_before", f"up{k}_all", f"up{k}_upto").alias(f"x{k}") for k in (1, 2)))
+    all_ = F.struct(F.lit("all").alias("role"), F.col("n").alias("size"), F.lit(-1).alias("place"), *(F.col(f"here{k}_all").alias(f"x{k}") for k in (1, 2)))
+    files = each.select("h", "h2", "at", F.explode(F.when(F.col("i") == 0, F.array(one, rest, all_)).otherwise(F.array(one, rest))).alias("f")).select("h", "h2", "at", "f.*")
+    files = written(files, "files")
+    file = ["size", "place", "x1", "x2"]
+    least = files.groupBy(*file).agg(F.count("*").alias("n"), *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"{r}_at") for r in ("one", "rest", "all"))).filter("n > 1")
+    least = written(least.drop("n"), "least")
+    earlier = F.when(F.col("role") == "one", F.col("one_at")).when(F.col("role") == "all", F.col("rest_at")).otherwise(F.col("all_at"))
+    return files.join(least, file).filter(earlier < F.col("at")).select("h", "h2")
+
+
+def decided(df: DataFrame, least_words: int = LEAST_WORDS, dense: int = DENSE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` in a column ``record`` with ``n_lines``, ``n_exact`` and ``n_near`` removed, and ``kept`` (the text)."""
     lines = line_table(df, text, key)
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "line")
-    long_ = lines.filter(F.col("length") >= least_chars)
-    met = _met(long_.select("h", F.explode(filed(F.col("words"), F.col("length"), threshold)).alias("x")).select("x.key", "h", "x.probe"), dense)
+    met = _met(lines, THRESHOLD, least_words, dense)
     asked = written(met.select(F.explode(F.array("a", "b")).alias("h")).filter("h is not null").distinct(), "asked")
-    told = written(_only(long_, asked).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told")
+    told = written(_only(lines, asked).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told")
+    near = _near_pairs(told, met.filter("b is not null"), THRESHOLD)
     many = met.filter("b is null").select(F.col("a").alias("h"))
-    close = _pairs_of(told.join(many, "h", "left_semi").select("h", F.explode(without_some(F.col("words"), threshold)).alias("key")))
-    a, b = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h", "h2", "at", "words"))) for s in "ab")
-    pairs = met.filter("b is not null").union(close).distinct()
-    checked = pairs.join(a, F.col("a") == F.col("h_a")).join(b, F.col("b") == F.col("h_b")).filter(verified(F.col("words_a"), F.col("words_b"), threshold))
-    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("h_a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("h2_b").alias("h2")))
-    near = written(checked.select(later.alias("x")).select("x.h", "x.h2").distinct(), "near").withColumn("near", F.lit(True))
+    if not many.isEmpty():
+        near = near.union(_near_dense(told.join(many, "h", "left_semi")))
+    near = written(near.distinct(), "near").withColumn("near", F.lit(True))
     firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("at")).join(near, ["h", "h2"], "left")
     stay = firsts.groupBy(F.col("at.doc").alias("doc"), F.col("at.row").alias("row")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line"))).alias("stay"), F.count("near").alias("n_near"))
     docs = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_"), F.struct(*df.columns).alias("record"))
     same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("row_") == F.col("row"))
     out = docs.join(stay, same, "left")
-    whole = F.col(f"record.`{text}`")
-    blank = lambda x: F.length(F.btrim(x, F.lit(BLANKS))) == 0
     numbers = F.coalesce("stay", F.array().cast("array<int>"))
-    kept = F.when(whole.isNotNull(), F.array_join(let(numbers, lambda n: F.filter(F.split(whole, "\n"), lambda x, i: blank(x) | F.array_contains(n, i))), "\n"))
-    n_lines = F.size(F.filter(F.split(F.coalesce(whole, F.lit("")), "\n"), lambda x: ~blank(x))).cast("long")
-    n_near = F.coalesce("n_near", F.lit(0))
-    return out.select("record", n_lines.alias("n_lines"), (n_lines - F.size(numbers) - n_near).cast("long").alias("n_exact"), n_near.cast("long").alias("n_near"), kept.alias("kept"))
 
+    def of(each: Column) -> Column:
+        blank = F.filter(F.sequence(F.lit(0), F.size(each) - 1), lambda i: F.length(F.btrim(F.get(each, i), F.lit(BLANKS))) == 0)
+        kept = let(blank, lambda b: F.array_join(F.transform(F.array_sort(F.concat(numbers, b)), lambda i: F.get(each, i)), "\n"))
+        return F.struct((F.size(each) - F.size(blank)).cast("long").alias("n_lines"), kept.alias("kept"))
 
-def _pairs_of(entries: DataFrame) -> DataFrame:
-    """All pairs of different lines that share a key, each once."""
-    shared = entries.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least != most").select("key")
-    some = entries.join(shared, "key").select("key", "h")
-    return some.select("key", F.col("h").alias("a")).join(some.select("key", F.col("h").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    whole = F.col(f"record.`{text}`")
+    read = let(F.split(F.coalesce(whole, F.lit("")), "\n"), of)
+    n_near = F.coalesce("n_near", F.lit(0))
+    out = out.select("record", F.explode(F.array(read)).alias("x"), F.size(numbers).alias("n_stay"), n_near.alias("n_near"))
+    return out.select("record", "x.n_lines", (F.col("x.n_lines") - F.col("n_stay") - F.col("n_near")).cast("long").alias("n_exact"), F.col("n_near").cast("long").alias("n_near"), F.when(whole.isNotNull(), F.col("x.kept")).alias("kept"))
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
@@ -230,13 +235,16 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record.doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: For ids and rows that don't repeat. One edit leaves the first or the last 9 characters of 20 alone.
+#: For ids and rows that don't repeat. One edit leaves the first or the last half of the fewest words alone; what
+#: is left of two lines without their common beginning and end is at most one word if they are an edit apart.
 ORACLE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM l),
 f AS (SELECT x, min({{'d': doc_id, 'k': k}}) AS at FROM t WHERE x <> '' GROUP BY x),
-e AS (SELECT * FROM f WHERE length(x) >= {LEAST_CHARS}),
-p AS (SELECT a.x, b.x AS y FROM e a JOIN e b ON left(a.x, 9) = left(b.x, 9) AND a.at > b.at UNION SELECT a.x, b.x FROM e a JOIN e b ON right(a.x, 9) = right(b.x, 9) AND a.at > b.at),
-n AS (SELECT DISTINCT x FROM p WHERE CASE WHEN abs(length(x) - length(y)) > {THRESHOLD} THEN false ELSE levenshtein(x, y) <= {THRESHOLD} END),
+w AS (SELECT *, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda z: z <> '') AS ws FROM f),
+e AS (SELECT *, len(ws) AS n FROM w WHERE len(ws) >= {LEAST_WORDS}),
+p AS (SELECT a.x, a.ws AS a, b.ws AS b, a.n, b.n AS m FROM e a JOIN e b ON a.ws[1:{LEAST_WORDS // 2}] = b.ws[1:{LEAST_WORDS // 2}] AND a.at > b.at AND abs(a.n - b.n) <= 1 UNION ALL SELECT a.x, a.ws, b.ws, a.n, b.n FROM e a JOIN e b ON a.ws[-{LEAST_WORDS // 2}:] = b.ws[-{LEAST_WORDS // 2}:] AND a.at > b.at AND abs(a.n - b.n) <= 1),
+q AS (SELECT *, coalesce(list_position(list_transform(list_zip(a[1:least(n, m)], b[1:least(n, m)]), lambda z: z[1] <> z[2]), true) - 1, least(n, m)) AS head FROM p),
+n AS (SELECT DISTINCT x FROM q WHERE CASE WHEN n = m THEN a[head + 2:] = b[head + 2:] WHEN n > m THEN a[head + 2:] = b[head + 1:] ELSE a[head + 1:] = b[head + 2:] END),
 j AS (SELECT t.doc_id, t.k, t.raw, t.x <> '' AS line, t.x <> '' AND f.at <> {{'d': t.doc_id, 'k': t.k}} AS exact, t.x <> '' AND f.at = {{'d': t.doc_id, 'k': t.k}} AND t.x IN (SELECT x FROM n) AS near FROM t LEFT JOIN f ON t.x = f.x),
 o AS (SELECT doc_id, count(*) FILTER (WHERE line) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near, string_agg(raw, chr(10) ORDER BY k) FILTER (WHERE NOT coalesce(exact, false) AND NOT near) AS kept FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id"""
