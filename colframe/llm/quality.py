@@ -5,12 +5,15 @@ character classes, and of its common words (words with at least
 ``COMMON_SHARE`` of all words of the language, lower-cased, and one bin for
 all others).  A document is compared with its language's references by the
 Jensen-Shannon distance (square root of the divergence, base 2: 0 to 1), and
-is rejected if either is over its threshold.  Guards: documents of fewer than
-``LEAST_WORDS`` words are not judged by divergence, since short histograms
-are noise; languages with less than ``LEAST_SHARE`` of the documents, and
-NULL ones, are compared with the references of all documents together.  So
-there are at most ``1 / LEAST_SHARE`` languages with at most ``1 /
-COMMON_SHARE`` words each, whatever the corpus: that bounds what is broadcast.
+is rejected if either is over its threshold.  Guards: short histograms are
+noise, so documents of fewer than ``LEAST_WORDS`` words are not judged by
+divergence, nor those of a language with fewer than ``REFERENCE_WORDS`` words
+in all.  Documents without a language are compared with all documents together.
+
+A language has at most ``1 / COMMON_SHARE`` common words.  Tables with a row
+for each language are sent to all tasks while they have ``LANGUAGES`` rows at
+most, and meet the others in a shuffle beyond that; words are counted by
+language and word before they are sent.
 
 The base rules (word counts, repeated 8-word windows, repeated lines, symbols)
 come with it.  A window that occurs twice is found by the XXH64 of its words
@@ -36,9 +39,9 @@ SYMBOLS = "#*$%&|<>"
 #: Divergence: fewest words to judge, thresholds of the two distances.
 LEAST_WORDS = 30
 CHARACTER_LIMIT, WORD_LIMIT = 0.33, 0.42
-COMMON_SHARE, LEAST_SHARE = 0.005, 0.001
-#: The share in the SQL, which is left as it was: it also has words as written, so its word distances differ.
-SQL_COMMON_SHARE = 0.01
+COMMON_SHARE, REFERENCE_WORDS = 0.005, 500
+#: Languages whose references (a few KB each) may be sent to all tasks.
+LANGUAGES = 5000
 #: Character classes that are counted one by one, after letters a-z and blanks are taken out.
 CLASSES = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -124,30 +127,35 @@ def _language(df: DataFrame, lang: str) -> Column:
     return F.col(lang) if lang in df.columns else F.lit(None).cast("string")
 
 
+def _sent(by_language: DataFrame) -> DataFrame:
+    """A table with a row for each language, sent to all tasks if it is small enough."""
+    return F.broadcast(by_language) if by_language.count() <= LANGUAGES else by_language.hint("shuffle_merge")
+
+
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """A row for each language with enough documents and one (NULL) for all: ``lang, classes, words, shares``."""
+    """A row for each language with enough words and one (NULL) for all documents: ``lang, classes, words, shares``."""
     docs = df.select(_language(df, lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = list(CLASS_NAMES)
     counted = written(docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     # by language
-    lengths = docs.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    lengths = docs.groupBy(F.col("lang").alias("of")).agg(F.sum(F.length("text")).alias("chars"))
     of_word = counted.select("lang", "n", measures(F.array("word"), F.col("word"))["classes"].alias("classes"))
     sums = of_word.groupBy("lang").agg(F.sum("n").alias("total"), *(F.sum(F.col("n") * F.col("classes")[i]).alias(k) for i, k in enumerate(names)))
-    sums = lengths.join(sums, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "docs", "chars", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("total", *names)))
+    sums = lengths.join(sums, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "chars", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("total", *names)))
+    sums = written(sums, "languages")
     counted = counted.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
-    common = counted.join(sums.select("of", "total"), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total")).select("lang", "word", "n")
+    common = counted.join(_sent(sums.select("of", "total")), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total")).select("lang", "word", "n")
     # of all: a word with that share of all words has it in some language
-    every = sums.groupBy().agg(*(F.sum(k).alias(k) for k in ("docs", "chars", "total", *names))).select(F.lit(None).cast("string").alias("of"), "*")
+    every = sums.groupBy().agg(*(F.sum(k).alias(k) for k in ("chars", "total", *names))).select(F.lit(None).cast("string").alias("of"), "*")
     overall = counted.join(common.select("word").distinct(), "word").groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
-    large = sums.filter(F.col("of").isNotNull() & (F.col("docs") >= LEAST_SHARE * df.count()))
-    sums = large.unionByName(every).withColumn("blank", F.col("chars") - reduce(lambda x, y: x + y, map(F.col, names)))
-    shares_of = common.filter("lang is not null").unionByName(overall).join(sums.select("of", "total"), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total"))
+    sums = sums.filter("of is not null").unionByName(every).filter(F.col("total") >= REFERENCE_WORDS).withColumn("blank", F.col("chars") - reduce(lambda x, y: x + y, map(F.col, names)))
+    shares_of = common.filter("lang is not null").unionByName(overall).join(_sent(sums.select("of", "total")), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total"))
     shares_of = shares_of.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))).alias("common"))
     sums = sums.select(F.col("of").alias("lang"), _shares(F.array(*names), F.col("chars")).alias("classes"))
     none = F.array().cast("array<struct<word:string,share:double>>")
     found = sums.join(shares_of, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", "classes", F.coalesce("common", none).alias("common"))
     words, shares = F.transform("common", lambda x: x["word"]), F.transform("common", lambda x: x["share"])
-    return found.select("lang", "classes", words.alias("words"), F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))).alias("shares"))
+    return written(found.select("lang", "classes", words.alias("words"), F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))).alias("shares")), "references")
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -168,10 +176,8 @@ def word_counts(words: Column, common: Column) -> Column:
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``df`` in a column ``row`` with the base measures, ``base_failed``, both distances and ``kept``."""
-    refs = references(df, text, lang)
-    known = F.broadcast(refs.filter("lang is not null").select(F.col("lang").alias("known")))
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), _language(df, lang).alias("key"))
-    joined = rows.join(known, F.col("key") == F.col("known"), "left").join(F.broadcast(refs), F.col("known").eqNullSafe(F.col("lang")), "left")
+    joined = rows.join(_sent(references(df, text, lang)), F.col("key").eqNullSafe(F.col("lang")), "left")
     t = F.coalesce(F.col("text"), F.lit(""))
     measured = let(
         words_of(F.col("text")),
@@ -215,15 +221,15 @@ m AS (SELECT doc_id, lang, t, ws, len(ws) AS n_words, length(t) - blank AS word_
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM m)),
 o AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
 r AS (SELECT doc_id, sum(least({WINDOW}, coalesce(i - p, {WINDOW}))) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM o) GROUP BY 1),
-u AS (SELECT lang, unnest(ws) AS word FROM m),
-k AS (SELECT lang, word, count(*) AS n FROM u WHERE lang IN (SELECT lang FROM d GROUP BY 1 HAVING count(*) >= {LEAST_SHARE} * (SELECT count(*) FROM d)) GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM u GROUP BY word),
-s AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share FROM k),
-c AS (SELECT lang, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM s WHERE share >= {SQL_COMMON_SHARE} GROUP BY lang),
+u AS (SELECT lang, lower(unnest(ws)) AS word FROM m),
+k AS (SELECT lang, word, count(*) AS n FROM u WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM u GROUP BY word),
+s AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share, sum(n) OVER (PARTITION BY lang) AS total FROM k),
+c AS (SELECT lang, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM s WHERE share >= {COMMON_SHARE} AND total >= {REFERENCE_WORDS} GROUP BY lang),
 x AS (SELECT lang, classes, length(t) AS chars FROM m WHERE lang IN (SELECT lang FROM c) UNION ALL SELECT NULL, classes, length(t) FROM m),
 q AS (SELECT lang, {'[' + ', '.join(f'sum(classes[{i + 1}]) / sum(chars)' for i in range(len(CLASS_NAMES))) + ']'} AS q FROM x GROUP BY lang),
-j AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, words, list_append(shares, 1 - list_sum(shares)) AS shares, q FROM m LEFT JOIN r ON m.doc_id = r.doc_id JOIN c ON c.lang IS NOT DISTINCT FROM CASE WHEN m.lang IN (SELECT lang FROM c) THEN m.lang END JOIN q ON q.lang IS NOT DISTINCT FROM c.lang),
-p AS (SELECT *, list_transform(classes, lambda v: v / length(t)) AS cp, list_transform(words, lambda v: len(list_filter(ws, lambda y: y = v)) / n_words) AS hits FROM j),
-z AS (SELECT *, {distance('cp', 'q')} AS cd, {distance('list_append(hits, 1 - list_sum(hits))', 'shares')} AS wd, n_words < {FEWEST} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM p)
+j AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, words, list_append(shares, 1 - list_sum(shares)) AS shares, q FROM m LEFT JOIN r ON m.doc_id = r.doc_id LEFT JOIN c ON c.lang IS NOT DISTINCT FROM m.lang LEFT JOIN q ON q.lang IS NOT DISTINCT FROM m.lang),
+p AS (SELECT *, list_transform(classes, lambda v: v / length(t)) AS cp, list_transform(words, lambda v: len(list_filter(ws, lambda y: lower(y) = v)) / n_words) AS hits FROM j),
+z AS (SELECT *, CASE WHEN q IS NOT NULL THEN {distance('cp', 'q')} END AS cd, CASE WHEN words IS NOT NULL THEN {distance('list_append(hits, 1 - list_sum(hits))', 'shares')} END AS wd, n_words < {FEWEST} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM p)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {LEAST_WORDS} AND (cd > {CHARACTER_LIMIT} OR wd > {WORD_LIMIT}), false) AS kept, round(cd, 6) AS character_distance, round(wd, 6) AS word_distance FROM z"""
 
 
