@@ -16,13 +16,14 @@ rule leaves.  Lines that meet are verified by a banded bit-parallel edit
 distance over their words, one word of ``2 * threshold + 2`` bits per column.
 
 An index entry in which over ``DENSE`` different lines meet (variants of one
-line, or a common beginning of unlike ones) is not joined with itself.  Its
-lines are cut again, into segments of one word, all but one of which stand
-unchanged in a line one edit away: they are filed by the rest of the line
-without each word (and that word's place, for a replaced one), and a line is
-near an earlier one if an earlier one is filed there.  That takes the least
-place of each file, so no pairs are made, and twice as many rows as the line
-has words.  The rests are known by two 64-bit hashes.
+line, or a common beginning of unlike ones) is not joined with itself.  The
+part of its lines that the entry leaves open is cut again, into ``CUTS``
+segments, all but one of which stand unchanged in a line one edit away; so the
+lines are filed by all that is outside of each segment, and so on with what is
+still crowded, until the open part is a word.  Lines that differ in that word
+alone are all near each other, and one that has a word more is near those that
+have one of its two: that takes the least place of each file and no pairs.  What
+is outside is known by two 64-bit hashes there.
 
 Equal lines are one node throughout, however often they occur, and what is
 counted by key is counted before it is sent.  The texts of lines that met are
@@ -39,7 +40,7 @@ columns are carried along.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colframe.llm.common import BLANKS, documents, fresh, let, words_of, written
@@ -50,6 +51,8 @@ THRESHOLD = 1
 LEAST_WORDS = 10
 #: Different lines that may meet in one index entry and still be compared with each other.
 DENSE = 32
+#: Segments that the open part of a crowded entry's lines is cut into.
+CUTS = 8
 #: Line hashes (of 8 bytes) that may be sent to all tasks.
 SMALL = 2_000_000
 
@@ -121,26 +124,25 @@ def line_table(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return each.select("doc", "row", "line", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
-def _index(lines: DataFrame, threshold: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """``(key, h, probe)`` of each different line with enough words, once, and ``(key, n)`` of the keys where lines meet."""
+def _index(lines: DataFrame, least: int) -> DataFrame:
+    """``(key, h, entry, guest)`` of each different line with enough words, once; guests probe a shorter line's entry."""
     hashed = lines.select("h", F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w)).alias("x")).filter(F.size("x") >= least)
-    keys = filed(F.col("x"), F.size("x"), threshold)
+    keys = filed(F.col("x"), F.size("x"), THRESHOLD)
     once = hashed.select("h", *(k.alias(f"k{i}") for i, (k, _) in enumerate(keys))).groupBy("h").agg(*(F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))))
     once = written(once, "index")
-    each = once.select("h", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(probe).alias("probe")) for i, (_, probe) in enumerate(keys)))).alias("e")).select("e.key", "h", "e.probe")
-    met = each.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("probes")).filter("n > 1 and not probes")
-    return each, written(met.select("key", "n"), "keys")
+    each = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i).alias("entry"), F.lit(probe).alias("guest")) for i, (_, probe) in enumerate(keys)))
+    return once.select("h", F.explode(each).alias("e")).select("e.key", "h", "e.entry", "e.guest")
 
 
-def _met(lines: DataFrame, threshold: int, least: int, dense: int) -> DataFrame:
-    """Pairs ``(a, b)`` of lines that meet in an entry, and ``(h, NULL)`` for lines of entries with too many to be paired."""
-    each, keys = _index(lines, threshold, least)
-    some = each.join(keys, "key")
-    files = some.filter(F.col("n") <= dense).groupBy("key").agg(F.collect_list(F.when(~F.col("probe"), F.col("h"))).alias("own"), F.collect_list("h").alias("every"))
+def _met(files: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of lines ``h`` that meet in a file ``key``, and the rows of files with too many to be paired."""
+    keys = files.groupBy("key").agg(F.count("*").alias("n"), F.min("guest").alias("guests")).filter("n > 1 and not guests")
+    keys = written(keys.select("key", "n"), "keys")
+    few = files.join(keys.filter(F.col("n") <= dense), "key").groupBy("key").agg(F.collect_list(F.when(~F.col("guest"), F.col("h"))).alias("own"), F.collect_list("h").alias("every"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = files.select(F.explode(F.flatten(F.transform("own", lambda a: F.transform("every", lambda b: pair(a, b))))).alias("x")).select("x.a", "x.b").filter("a != b")
-    many = some.filter(F.col("n") > dense).select(F.col("h").alias("a"), F.lit(None).cast("long").alias("b"))
-    return written(pairs.union(many).distinct(), "met")
+    pairs = few.select(F.explode(F.flatten(F.transform("own", lambda a: F.transform("every", lambda b: pair(a, b))))).alias("x")).select("x.a", "x.b").filter("a != b")
+    many = written(files.join(keys.filter(F.col("n") > dense).select("key"), "key").drop("key"), "crowded")
+    return written(pairs.distinct(), "pairs"), many
 
 
 def _only(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -149,57 +151,80 @@ def _only(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(found) if small else found.hint("shuffle_merge"), "h", "left_semi")
 
 
-def _near_pairs(told: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _told(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(h, h2, at, words)`` of the lines with a hash in ``asked (h)``: their first place and their text."""
+    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "line")
+    return written(_only(lines, written(asked.distinct(), "asked")).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told")
+
+
+def _near_pairs(told: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(h, h2)`` of the later line of each pair that is near."""
     a, b = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h", "h2", "at", "words"))) for s in "ab")
-    # arrays are made once a pair, by a generator that isn't merged into the function below it
     both = pairs.join(a, F.col("a") == F.col("h_a")).join(b, F.col("b") == F.col("h_b"))
-    both = both.select("h_a", "h2_a", "at_a", "h_b", "h2_b", "at_b", F.explode(F.array(F.struct(words_of(F.col("words_a")).alias("x"), words_of(F.col("words_b")).alias("y")))).alias("w"))
-    near = both.filter(distance_within(F.col("w.x"), F.col("w.y"), threshold))
+    # words are cut out once a pair, by a generator that isn't merged into the filter on it
+    words = F.explode(F.array(F.struct(words_of(F.col("words_a")).alias("x"), words_of(F.col("words_b")).alias("y"))))
+    near = both.select("h_a", "h2_a", "at_a", "h_b", "h2_b", "at_b", words.alias("w")).filter(distance_within(F.col("w.x"), F.col("w.y"), THRESHOLD))
     later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("h_a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("h2_b").alias("h2")))
     return near.select(later.alias("x")).select("x.h", "x.h2")
 
 
-def _near_dense(told: DataFrame) -> DataFrame:
-    """``(h, h2)`` of the lines of ``told (h, h2, at, words)`` with an earlier one an edit away, from files without a word.
-
-    A line's words are hashed with their places and summed up by exclusive or.  The sum without a word, with
-    its place, is shared by lines that differ in that word (``one``); the sum of a line (``all``) and the sum of a
-    longer one whose words move up after the one left out (``rest``) are shared where it was put in.
-    """
-    each = told.select("h", "h2", "at", F.posexplode(words_of(F.col("words"))).alias("i", "word"))
-    line = Window.partitionBy("h", "h2")
-    before, upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1), line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    xor = lambda *cs: F.reduce(F.array(*cs), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(c))
-    for k in (1, 2):
-        here, up = F.xxhash64(F.lit(k), "i", "word"), F.xxhash64(F.lit(k), F.col("i") - 1, "word")
-        each = each.withColumns({f"here{k}": here, f"up{k}": up})
-    sums = {f"{c}{k}_{name}": F.coalesce(F.bit_xor(f"{c}{k}").over(w), F.lit(0)) for k in (1, 2) for c, name, w in (("here", "all", line), ("up", "all", line), ("here", "before", before), ("up", "upto", upto))}
-    each = each.withColumns(sums | {"n": F.count("*").over(line)})
-    one = F.struct(F.lit("one").alias("role"), F.col("n").alias("size"), F.col("i").alias("place"), *(xor(f"here{k}_all", f"here{k}").alias(f"x{k}") for k in (1, 2)))
-    rest = F.struct(F.lit("rest").alias("role"), (F.col("n") - 1).alias("size"), F.lit(-1).alias("place"), *(xor(f"here{k}_before", f"up{k}_all", f"up{k}_upto").alias(f"x{k}") for k in (1, 2)))
-    all_ = F.struct(F.lit("all").alias("role"), F.col("n").alias("size"), F.lit(-1).alias("place"), *(F.col(f"here{k}_all").alias(f"x{k}") for k in (1, 2)))
-    files = each.select("h", "h2", "at", F.explode(F.when(F.col("i") == 0, F.array(one, rest, all_)).otherwise(F.array(one, rest))).alias("f")).select("h", "h2", "at", "f.*")
-    files = written(files, "files")
-    file = ["size", "place", "x1", "x2"]
-    least = files.groupBy(*file).agg(F.count("*").alias("n"), *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"{r}_at") for r in ("one", "rest", "all"))).filter("n > 1")
+def _opened(many: DataFrame, told: DataFrame) -> DataFrame:
+    """``(h, guest, size, lo, hi)`` of crowded entries: what they leave open, in places of a line of ``size`` words."""
+    many = many.join(told.select("h", F.size(words_of(F.col("words"))).alias("size")), "h")
+    many = many.withColumn("size", F.col("size") - F.col("guest").cast("int"))
+    half = (F.col("size") / 2).cast("int")
+    first = F.col("entry") % 2 == 0  # entries are those of the first and second half, of this length and of the shorter one
+    return many.select("h", "guest", "size", F.when(first, half).otherwise(0).alias("lo"), F.when(first, F.col("size")).otherwise(half).alias("hi"))
+
+
+def _outside(seed: int) -> Column:
+    """A hash of the words before and after the open part; a guest's open part is longer by a word."""
+    after = F.col("size") - F.col("hi")
+    return F.xxhash64(F.lit(seed), F.col("size"), F.col("lo"), F.slice("w", F.lit(1), F.col("lo")), F.slice("w", F.size("w") - after + 1, after))
+
+
+def _cut(opened: DataFrame, told: DataFrame) -> DataFrame:
+    """``(key, h, guest, size, lo, hi)`` for each segment of the open part."""
+    n = F.col("hi") - F.col("lo")
+    parts = F.least(F.lit(CUTS), n)
+    at = lambda d: (F.col("lo") + F.floor(n * d / parts)).cast("int")
+    each = opened.select("h", "guest", "size", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda d: F.struct(at(d).alias("lo"), at(d + 1).alias("hi")))).alias("x"))
+    each = each.select("h", "guest", "size", "x.lo", "x.hi").join(told.select("h", words_of(F.col("words")).alias("w")), "h")
+    return written(each.select(_outside(0).alias("key"), "h", "guest", "size", "lo", "hi"), "segments")
+
+
+def _near_but_a_word(last: DataFrame, told: DataFrame) -> DataFrame:
+    """``(h, h2)`` of lines with an earlier one in a file of which one word is open."""
+    each = last.join(told.select("h", "h2", "at", words_of(F.col("words")).alias("w")), "h")
+    word = lambda role, w: F.struct(F.lit(role).alias("role"), w.alias("word"))
+    mine = F.array(word("one", F.lit(None).cast("string")), word("own", F.get("w", F.col("lo"))))
+    guests = F.array(word("guest", F.get("w", F.col("lo"))), word("guest", F.get("w", F.col("lo") + 1)))
+    files = each.select("h", "h2", "at", _outside(1).alias("x1"), _outside(2).alias("x2"), F.explode(F.when(F.col("guest"), guests).otherwise(mine)).alias("f"))
+    files = written(files.select("h", "h2", "at", "x1", "x2", (F.col("f.role") == "one").alias("one"), F.coalesce("f.word", F.lit("")).alias("word"), "f.role"), "files")
+    file = ["x1", "x2", "one", "word"]
+    least = files.groupBy(*file).agg(F.count("*").alias("n"), *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"{r}_at") for r in ("one", "own", "guest"))).filter("n > 1")
     least = written(least.drop("n"), "least")
-    earlier = F.when(F.col("role") == "one", F.col("one_at")).when(F.col("role") == "all", F.col("rest_at")).otherwise(F.col("all_at"))
+    earlier = F.when(F.col("role") == "one", F.col("one_at")).when(F.col("role") == "own", F.col("guest_at")).otherwise(F.col("own_at"))
     return files.join(least, file).filter(earlier < F.col("at")).select("h", "h2")
 
 
+def near_lines(lines: DataFrame, least: int, dense: int) -> DataFrame:
+    """``(h, h2)`` of the lines of ``line_table`` with an earlier near one."""
+    pairs, many = _met(_index(lines, least), dense)
+    told = _told(lines, pairs.select(F.explode(F.array("a", "b")).alias("h")).union(many.select("h")))
+    near, open_ = _near_pairs(told, pairs), _opened(many, told)
+    while not open_.isEmpty():
+        pairs, many = _met(_cut(open_, told), dense)
+        near = near.union(_near_pairs(told, pairs)).union(_near_but_a_word(many.filter("hi - lo = 1"), told))
+        open_ = written(many.filter("hi - lo > 1").distinct(), "open")
+    return written(near.distinct(), "near")
+
+
 def decided(df: DataFrame, least_words: int = LEAST_WORDS, dense: int = DENSE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` in a column ``record`` with ``n_lines``, ``n_exact`` and ``n_near`` removed, and ``kept`` (the text)."""
     lines = line_table(df, text, key)
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "line")
-    met = _met(lines, THRESHOLD, least_words, dense)
-    asked = written(met.select(F.explode(F.array("a", "b")).alias("h")).filter("h is not null").distinct(), "asked")
-    told = written(_only(lines, asked).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told")
-    near = _near_pairs(told, met.filter("b is not null"), THRESHOLD)
-    many = met.filter("b is null").select(F.col("a").alias("h"))
-    if not many.isEmpty():
-        near = near.union(_near_dense(told.join(many, "h", "left_semi")))
-    near = written(near.distinct(), "near").withColumn("near", F.lit(True))
+    near = near_lines(lines, least_words, dense).withColumn("near", F.lit(True))
     firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("at")).join(near, ["h", "h2"], "left")
     stay = firsts.groupBy(F.col("at.doc").alias("doc"), F.col("at.row").alias("row")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line"))).alias("stay"), F.count("near").alias("n_near"))
     docs = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_"), F.struct(*df.columns).alias("record"))
