@@ -127,13 +127,90 @@ The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software."""
 
 
-def test_licences(spark, docs, none):
-    texts = [MIT, "x y\nReleased under the MIT License.\nmore", "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", "the software is fine", None, ""]
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of Some Body, Inc. nor the names of its contributors may be used to
+   endorse or promote products derived from this software without specific
+   prior written permission.
+"""
+DISCLAIMED = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE = """Copyright 2019 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU {}General Public License as published by
+    the Free Software Foundation, either version {} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {}General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Copyright (c) 2021 Some Body
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def commented(text, mark, first="", last=""):
+    return first + "\n".join((mark + " " + x).rstrip() for x in text.split("\n")) + last
+
+
+@pytest.mark.parametrize("wrap", [lambda t: t, lambda t: commented(t, " *", "/*\n", "\n */\nint main() {}"), lambda t: commented(t, "#"), lambda t: commented(t, "//"), lambda t: "before it.\n\n" + t + "\n\nafter it.", lambda t: t.replace("\n", "\r\n")])
+def test_published_notices(spark, wrap):
+    want = {
+        MIT: "MIT:1", BSD + DISCLAIMED: "BSD-2-Clause:1", BSD + THIRD + DISCLAIMED: "BSD-3-Clause:1", APACHE: "Apache-2.0:1", MPL: "MPL-2.0:1", ISC: "ISC:1", GNU.format("", 3, ""): "GPL-3.0-or-later:1", GNU.format("", 2, "").replace(":", ";"): "GPL-2.0-or-later:1",
+        GNU.format("Lesser ", 3, "Lesser "): "LGPL-3.0-or-later:1", GNU.format("Lesser ", 2.1, "Lesser ").replace("program", "library"): "LGPL-2.1-or-later:1", GNU.format("Affero ", 3, "Affero ").replace("This program", "The Name of It"): "AGPL-3.0-or-later:1",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause:1", BSD.replace("1.", "*").replace("2.", "*"): "BSD-2-Clause:1", BSD.replace("1.", "(a)").replace("2.", "(b)") + THIRD.replace("3.", "(c)"): "BSD-3-Clause:1",
+    }
+    df = spark.createDataFrame([(i, wrap(t)) for i, t in enumerate(want)], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licences.scan(df).collect()} == dict(enumerate(want.values()))
+
+
+def test_near_misses(spark):
+    texts = [BSD.replace("source code", "any code"), GNU.format("", 4, ""), MPL.replace("2.0", "1.1"), APACHE.replace("2.0", "1.1"), "The terms of the GNU General Public License apply to other files.", "Permission is hereby granted to enter the building.", MIT.replace("free of charge", "for a fee"), "licensed under the terms of its owner"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.licenses for r in licences.scan(df).collect()} == {""}
+
+
+def test_licence_sequences(spark):
+    texts = [MIT, "x y\nReleased under the MIT License.\nmore", "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", "the software is fine", None, "", MIT + "\n\n" + APACHE, (MIT + "\n\n") * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_sentences, r.licenses) for r in licences.scan(df).collect()}
-    assert got == {0: (2, "MIT:1"), 1: (1, "MIT:1"), 2: (2, "CC-BY-NC-4.0:2"), 3: (0, ""), 4: (0, ""), 5: (0, "")}
+    assert got == {0: (2, "MIT:1"), 1: (1, "MIT:1"), 2: (2, "CC-BY-NC-4.0:2"), 3: (0, ""), 4: (0, ""), 5: (0, ""), 6: (4, "Apache-2.0:1,MIT:1"), 7: (600, "MIT:300")}
+
+
+def test_licence_cases(docs, none):
     assert licences.scan(docs).count() == docs.count() and licences.scan(none).count() == 0
     assert all(any(w in s for w in licences.STEMS) for s in licences.SENTENCES.values())
+    assert len(set(licences.SENTENCES.values())) == len(licences.SENTENCES)
 
 
 def test_targets():
