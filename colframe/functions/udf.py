@@ -43,3 +43,8 @@ def group_apply(df: DataFrame, by: Sequence[str], fn: Callable, kind: str) -> Ca
 
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(lambda frames: map(fn, frames), schema)
+
+
+def apply_columns(df: DataFrame, fn: Callable, columns: Sequence[str], kind: str = "double") -> DataFrame:
+    """One row: a function of each column's values as a pandas Series, which one task holds."""
+    return df.agg(*(group_apply(df, [], fn, kind)(c).alias(c) for c in columns))

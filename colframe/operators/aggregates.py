@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colframe.operators.ordering import keys
+from colframe.operators.ordering import by_block, fresh, keys
 from colframe.operators.relational import numeric_columns
 
 
@@ -95,9 +95,15 @@ def unique(df: DataFrame, column: str) -> DataFrame:
 
 def mode(df: DataFrame, column: str) -> DataFrame:
     """All values that occur most, ascending."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    most = counts.agg(F.max("_n").alias("_n"))
-    return counts.join(F.broadcast(most), "_n").select(column).orderBy(column)  # one row
+    n = fresh([column], "_n")
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(n))
+    most = counts.agg(F.max(n).alias(n))
+    return counts.join(F.broadcast(most), n).select(column).orderBy(column)  # one row
+
+
+def modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row: of each column the value that occurs most, the least of equal ones."""
+    return df.agg(*(F.mode(c, True).alias(c) for c in columns or df.columns))
 
 
 def idx(df: DataFrame, column: str, label: str, order_by: str, largest: bool = True) -> DataFrame:
@@ -116,9 +122,12 @@ def idx_across(columns: Sequence[str], largest: bool = True) -> Column:
     return out
 
 
-def autocorr(df: DataFrame, column: str, order_by: str, lag: int = 1, partition_by: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*partition_by).orderBy(order_by)
-    return df.withColumn("_lag", F.lag(column, lag).over(w)).agg(F.corr(column, "_lag").alias("autocorr"))
+def autocorr(df: DataFrame, column: str, order_by: str, lag: int = 1, partition_by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Correlation with the value ``lag`` rows before, within groups or over the whole table in blocks."""
+    before = fresh(df, "_lag")
+    add = lambda w: {before: F.lag(column, lag).over(w)}
+    made = df.withColumns(add(Window.partitionBy(*partition_by).orderBy(order_by))) if partition_by else by_block(df, order_by, lag, add, rows)
+    return made.agg(F.corr(column, before).alias("autocorr"))
 
 
 # Groups
@@ -162,9 +171,3 @@ class Groups:
 
 def groupby(df: DataFrame, by: str | Sequence[str], order_by: str | None = None) -> Groups:
     return Groups(df, by, order_by)
-
-
-def salted_sum(df: DataFrame, by: Sequence[str], value: str, name: str, salts: int = 32) -> DataFrame:
-    """A sum whose groups are first summed in parts; for keys whose aggregate can't be combined before a shuffle."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    return df.groupBy(*by, part.alias("_salt")).agg(F.sum(value).alias("_s")).groupBy(*by).agg(F.sum("_s").alias(name))

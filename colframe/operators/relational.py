@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colframe.operators.ordering import keys, with_row_index
+from colframe.operators.ordering import fresh, keys, sort_columns, with_row_index
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -35,17 +35,19 @@ def iloc(df: DataFrame, order_by: str | Sequence[str], start: int | None = None,
     """Rows of a range of positions in the order of the keys; negative ends count from the last row."""
     n = df.count() if (start or 0) < 0 or (stop or 0) < 0 else None
     a, b = (x + n if x is not None and x < 0 else x for x in (start, stop))
-    out = with_row_index(df, order_by, "_row").filter(F.col("_row") >= (a or 0))
+    row = fresh(df, "_row")
+    out = with_row_index(df, order_by, row).filter(F.col(row) >= (a or 0))
     if b is not None:
-        out = out.filter(F.col("_row") < b)
+        out = out.filter(F.col(row) < b)
     if step != 1:
-        out = out.filter((F.col("_row") - (a or 0)) % step == 0)
-    out = out.drop("_row")
+        out = out.filter((F.col(row) - (a or 0)) % step == 0)
+    out = out.drop(row)
     return out.select(*(out.columns[i] for i in columns)) if columns is not None else out
 
 
 def iloc_rows(df: DataFrame, order_by: str | Sequence[str], positions: Sequence[int]) -> DataFrame:
-    return with_row_index(df, order_by, "_row").filter(F.col("_row").isin(*positions)).drop("_row")
+    row = fresh(df, "_row")
+    return with_row_index(df, order_by, row).filter(F.col(row).isin(*positions)).drop(row)
 
 
 def loc(df: DataFrame, label: str, labels: Any | Sequence[Any], columns: Sequence[str] | None = None) -> DataFrame:
@@ -95,9 +97,9 @@ def sample(df: DataFrame, key: str | Sequence[str], n: int | None = None, frac:
     """Exactly ``n`` rows (or that share of all), chosen by a seeded hash of the key; with ``replace`` rows may repeat."""
     n = int(frac * df.count()) if n is None else n
     if replace:
-        total = df.count()
-        picks = df.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_row"))
-        return picks.join(with_row_index(df, key, "_row"), "_row").drop("_row")
+        total, row = df.count(), fresh(df, "_row")
+        picks = df.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias(row))
+        return picks.join(with_row_index(df, key, row), row).drop(row)
     return df.orderBy(F.xxhash64(*keys(key), F.lit(seed)), *keys(key)).limit(n)
 
 
@@ -118,9 +120,12 @@ def info(df: DataFrame) -> DataFrame:
 
 def sort_values(df: DataFrame, by: str | Sequence[str], ascending: bool | Sequence[bool] = True) -> DataFrame:
     """Lexicographic; a missing value is the largest."""
-    by = keys(by)
-    up = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
-    return df.orderBy(*(F.col(c).asc_nulls_last() if a else F.col(c).desc_nulls_first() for c, a in zip(by, up)))
+    return df.orderBy(*sort_columns(by, ascending, nulls_largest=True))
+
+
+def sorted_rows(df: DataFrame, by: str | Sequence[str], ascending: bool | Sequence[bool] = True, name: str = "row", rows: int | None = None) -> DataFrame:
+    """The table with each row's position in the order of ``sort_values``, for what has to outlive the sort."""
+    return with_row_index(df, by, name, rows, ascending, nulls_largest=True)
 
 
 def nlargest(df: DataFrame, n: int, column: str, tie: str | Sequence[str]) -> DataFrame:
@@ -141,7 +146,8 @@ def duplicated(df: DataFrame, order_by: str | Sequence[str], subset: Sequence[st
 
 
 def drop_duplicates(df: DataFrame, order_by: str | Sequence[str], subset: Sequence[str] | None = None, keep: str | bool = "first") -> DataFrame:
-    return duplicated(df, order_by, subset, keep, "_dup").filter(~F.col("_dup")).drop("_dup")
+    dup = fresh(df, "_dup")
+    return duplicated(df, order_by, subset or df.columns, keep, dup).filter(~F.col(dup)).drop(dup)
 
 
 # Combination
@@ -155,6 +161,7 @@ def concat_rows(*tables: DataFrame) -> DataFrame:
 def concat_columns(*tables: tuple[DataFrame, str]) -> DataFrame:
     """Tables side by side in the order of each one's key; shorter ones are padded, a name taken gets a number."""
     out, names = None, set()
+    row = fresh([c for df, _ in tables for c in df.columns], "_row")
     for df, key in tables:
         renamed = []
         for c in df.columns:
@@ -163,10 +170,9 @@ def concat_columns(*tables: tuple[DataFrame, str]) -> DataFrame:
                 name, k = f"{c}_{k}", k + 1
             names.add(name)
             renamed.append(name)
-        indexed = with_row_index(df, key, "_row")
-        indexed = indexed.toDF(*[dict(zip(df.columns, renamed)).get(c, c) for c in indexed.columns])
-        out = indexed if out is None else out.join(indexed, "_row", "full")
-    return out.drop("_row")
+        indexed = with_row_index(df, key, row).toDF(*renamed, row)
+        out = indexed if out is None else out.join(indexed, row, "full")
+    return out.drop(row)
 
 
 def set_operation(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -186,8 +192,8 @@ def dropna(df: DataFrame, how: str = "any", subset: Sequence[str] | None = None)
 
 def dropna_columns(df: DataFrame, how: str = "any") -> DataFrame:
     """Without the columns that have a missing value, or nothing else."""
-    row = df.agg(F.count("*").alias("_n"), *(F.count(c).alias(c) for c in df.columns)).first()
-    return df.select(*(c for c in df.columns if (row[c] == row["_n"] if how == "any" else row[c] > 0)))
+    n, *has = df.agg(F.count("*"), *(F.count(c) for c in df.columns)).first()
+    return df.select(*(c for c, k in zip(df.columns, has) if (k == n if how == "any" else k > 0)))
 
 
 def isna(df: DataFrame) -> DataFrame:
@@ -196,15 +202,15 @@ def isna(df: DataFrame) -> DataFrame:
 
 def combine_first(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Missing values of ``a`` from the row of ``b`` with the same key; columns of ``b`` alone are added."""
-    both = [c for c in b.columns if c in a.columns and c != key]
-    other = b.select(key, *(F.col(c).alias(f"_b_{c}") for c in b.columns if c != key))
-    out = a.join(other, key, "left")
-    shared = [F.coalesce(F.col(c), F.col(f"_b_{c}")).alias(c) if c in both else F.col(c) for c in a.columns]
-    return out.select(*shared, *(F.col(f"_b_{c}").alias(c) for c in b.columns if c not in a.columns))
+    theirs = {c: fresh([*a.columns, *b.columns], f"_b_{c}") for c in b.columns if c != key}
+    out = a.join(b.select(key, *(F.col(c).alias(n) for c, n in theirs.items())), key, "left")
+    shared = [F.coalesce(F.col(c), F.col(theirs[c])).alias(c) if c in theirs else F.col(c) for c in a.columns]
+    return out.select(*shared, *(F.col(n).alias(c) for c, n in theirs.items() if c not in a.columns))
 
 
 def update(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Values of ``b``, missing ones too, where it has a row with the same key."""
-    other = b.select(key, F.lit(True).alias("_m"), *(F.col(c).alias(f"_b_{c}") for c in b.columns if c in a.columns and c != key))
-    out = a.join(other, key, "left")
-    return out.select(*(F.when(F.col("_m"), F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) if c in b.columns and c != key else F.col(c) for c in a.columns))
+    theirs = {c: fresh([*a.columns, *b.columns], f"_b_{c}") for c in b.columns if c in a.columns and c != key}
+    met = fresh([*a.columns, *theirs.values()], "_met")
+    out = a.join(b.select(key, F.lit(True).alias(met), *(F.col(c).alias(n) for c, n in theirs.items())), key, "left")
+    return out.select(*(F.when(F.col(met), F.col(theirs[c])).otherwise(F.col(c)).alias(c) if c in theirs else F.col(c) for c in a.columns))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colframe.operators.aggregates import kurt, skew
-from colframe.operators.ordering import keys, with_row_index
+from colframe.operators.ordering import fresh, keys, with_block, with_row_index
 from colframe.operators.relational import numeric_columns
-from colframe.operators.windows import rank
+from colframe.operators.windows import ranked
 
 
 def _matrix(df: DataFrame, columns: Sequence[str], pair) -> DataFrame:
@@ -23,7 +23,9 @@ def corr(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pea
     """A row for each column with its correlation to the others."""
     columns = list(columns or numeric_columns(df))
     if method == "spearman":
-        df = df.dropna("any", subset=columns).select(*(rank(c).alias(c) for c in columns))
+        df = df.dropna("any", subset=columns).select(*columns)
+        for c in columns:
+            df = ranked(df, c, c)
     elif method == "kendall":
         return _matrix_of(df, columns)
     elif method != "pearson":
@@ -31,16 +33,34 @@ def corr(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pea
     return _matrix(df, columns, F.corr)
 
 
-def kendall(df: DataFrame, a: str, b: str) -> float | None:
-    """Kendall's tau-b of two columns, from counts of different pairs of values."""
-    pairs = df.dropna("any", subset=[a, b]).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
-    values = pairs.alias("p").join(pairs.alias("q"), F.col("p.x") < F.col("q.x"))
-    sign = F.sum(F.signum(F.col("q.y") - F.col("p.y")) * F.col("p.n") * F.col("q.n"))
-    s = values.agg(sign).first()[0] or 0.0
-    n = pairs.agg(F.sum("n")).first()[0] or 0.0
-    ties = lambda c: pairs.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0] or 0.0
+def kendall(df: DataFrame, a: str, b: str, rows: int | None = None) -> float | None:
+    """Kendall's tau-b of two columns, from counts of inversions without a join of pairs.
+
+    Both columns become dense ranks.  Two ranks of ``b`` part at one binary digit, the first that differs: at each
+    digit, those with equal digits before are a file, and running sums along ``a`` say how many smaller ones of the
+    other digit a value has.  Running sums are made within blocks of ``a`` and over the sums of the blocks before.
+    """
+    has = df.dropna("any", subset=[a, b]).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    pairs = ranked(ranked(has, "x", "i", "dense", rows=rows), "y", "j", "dense", rows=rows).groupBy("i", "j").agg(F.count("*").alias("n"))
+    ends = pairs.agg(F.max("j"), F.sum("n")).first()
+    if ends[1] is None:
+        return None
+    digits = F.transform(F.sequence(F.lit(0), F.lit(max(ends[0].bit_length() - 1, 0))), lambda d: d)
+    each = with_block(pairs, "i", rows, "block").select("i", "n", "block", F.col("j"), F.explode(digits).alias("d"))
+    shift = lambda k: F.call_function("shiftright", F.col("j"), k)
+    each = each.select("i", "block", "n", "d", shift(F.col("d") + 1).alias("file"), shift(F.col("d")).bitwiseAND(F.lit(1).cast("long")).alias("bit"))
+    each = each.groupBy("d", "file", "block", "i").agg(*(F.sum(F.when(F.col("bit") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+    whole = each.groupBy("d", "file", "block").agg(*(F.sum(f"n{k}").alias(f"s{k}") for k in (0, 1)))
+    line = Window.partitionBy("d", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("d", "file", "block", *(F.coalesce(F.sum(f"s{k}").over(line), F.lit(0)).alias(f"b{k}") for k in (0, 1)))
+    here = Window.partitionBy("d", "file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({f"r{k}": F.coalesce(F.sum(f"n{k}").over(here), F.lit(0)) for k in (0, 1)}).join(whole, ["d", "file", "block"])
+    wide = lambda c: F.col(c).cast("double")
+    s = each.agg(F.sum(wide("n1") * (wide("r0") + wide("b0")) - wide("n0") * (wide("r1") + wide("b1")))).first()[0] or 0.0
+    n = float(ends[1])
+    ties = lambda c: pairs.groupBy(c).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0] or 0.0
     total = n * (n - 1) / 2
-    below = ((total - ties("x")) * (total - ties("y"))) ** 0.5
+    below = ((total - ties("i")) * (total - ties("j"))) ** 0.5
     return s / below if below else None
 
 
@@ -53,24 +73,19 @@ def cov(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return _matrix(df, list(columns or numeric_columns(df)), F.covar_samp)
 
 
-def _with_stats(df: DataFrame, **stats: Column) -> DataFrame:
-    """``df`` with the values of a one-row aggregate in each row."""
-    row = df.agg(*(c.alias(k) for k, c in stats.items())).first()
-    return df.withColumns({k: F.lit(row[k]) for k in stats})
-
-
 def zscore(df: DataFrame, column: str, name: str = "zscore") -> DataFrame:
-    out = _with_stats(df, _m=F.avg(column), _s=F.stddev_pop(column))
-    return out.withColumn(name, (F.col(column) - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
+    mean, std = df.agg(F.avg(column), F.stddev_pop(column)).first()
+    return df.withColumn(name, (F.col(column) - F.lit(mean)) / F.lit(std or 1.0))
 
 
 def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float = 3.0, name: str = "outlier") -> DataFrame:
     if method == "zscore":
-        return zscore(df, column, "_z").withColumn(name, F.abs("_z") > threshold).drop("_z")
-    out = _with_stats(df, _q=F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))))
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    width = F.when(high == low, 1e-9).otherwise(high - low)
-    return out.withColumn(name, (F.col(column) < low - 1.5 * width) | (F.col(column) > high + 1.5 * width)).drop("_q")
+        z = fresh(df, "_z")
+        return zscore(df, column, z).withColumn(name, F.abs(z) > threshold).drop(z)
+    low, high = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
+    width = (high - low or 1e-9) if low is not None else None
+    out = (F.col(column) < low - 1.5 * width) | (F.col(column) > high + 1.5 * width) if low is not None else F.lit(None).cast("boolean")
+    return df.withColumn(name, out)
 
 
 def value_distribution(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -173,11 +188,13 @@ class LabelEncoder:
         return self
 
     def transform(self, df: DataFrame, name: str = "code") -> DataFrame:
-        codes = self.codes.select(F.col("value").alias("_value"), F.col("code").alias(name))
-        return df.join(codes, F.col(self.column) == F.col("_value"), "left").drop("_value")
+        value = fresh(df, "_value")
+        codes = self.codes.select(F.col("value").alias(value), F.col("code").alias(name))
+        return df.join(codes, F.col(self.column) == F.col(value), "left").drop(value)
 
     def inverse_transform(self, df: DataFrame, code: str = "code", name: str = "value") -> DataFrame:
-        return df.join(self.codes.select(F.col("code").alias("_code"), F.col("value").alias(name)), F.col(code) == F.col("_code"), "left").drop("_code")
+        key = fresh(df, "_code")
+        return df.join(self.codes.select(F.col("code").alias(key), F.col("value").alias(name)), F.col(code) == F.col(key), "left").drop(key)
 
 
 class OneHotEncoder:
@@ -204,20 +221,22 @@ def train_test_split(df: DataFrame, key: str | Sequence[str], test_size: float |
     """Exact sizes: the first rows by key, or by a seeded hash of it, are for training."""
     n = df.count()
     train = n - test_size if isinstance(test_size, int) else int(n * (1 - test_size))
-    marked = _numbered(df, key, seed)
-    return marked.filter(F.col("_row") < train).drop("_row"), marked.filter(F.col("_row") >= train).drop("_row")
+    row = fresh(df, "_row")
+    marked = _numbered(df, key, seed, row)
+    return marked.filter(F.col(row) < train).drop(row), marked.filter(F.col(row) >= train).drop(row)
 
 
-def _numbered(df: DataFrame, key: str | Sequence[str], seed: int | None) -> DataFrame:
+def _numbered(df: DataFrame, key: str | Sequence[str], seed: int | None, row: str) -> DataFrame:
     if seed is None:
-        return with_row_index(df, key, "_row")
-    return with_row_index(df.withColumn("_h", F.xxhash64(*keys(key), F.lit(seed))), ["_h", *keys(key)], "_row").drop("_h")
+        return with_row_index(df, key, row)
+    h = fresh([*df.columns, row], "_h")
+    return with_row_index(df.withColumn(h, F.xxhash64(*keys(key), F.lit(seed))), [h, *keys(key)], row).drop(h)
 
 
 def kfold(df: DataFrame, key: str | Sequence[str], n_splits: int = 5, seed: int | None = None, name: str = "fold") -> DataFrame:
     """Adds a fold number; the last fold has the remainder."""
-    size = df.count() // n_splits
-    return _numbered(df, key, seed).withColumn(name, F.least(F.floor(F.col("_row") / max(size, 1)), F.lit(n_splits - 1)).cast("int")).drop("_row")
+    size, row = df.count() // n_splits, fresh([*df.columns, name], "_row")
+    return _numbered(df, key, seed, row).withColumn(name, F.least(F.floor(F.col(row) / max(size, 1)), F.lit(n_splits - 1)).cast("int")).drop(row)
 
 
 def regression_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 def sql_query(query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -31,22 +31,77 @@ def sql(df: DataFrame, query: str, table: str = "df") -> DataFrame:
     return sql_query(query, {table: df})
 
 
-def _kind(value) -> object:
-    return LongType() if isinstance(value, int) else DoubleType() if isinstance(value, float) else StringType()
+#: Rows of a SQLite result that its column types are read from, and rows fetched at once.
+SEEN, FETCHED = 1000, 10_000
 
 
-def read_sqlite(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """The result of a query to a SQLite file, through the driver."""
+def _kind(values: list) -> str:
+    kinds = {type(v) for v in values if v is not None}
+    return "bigint" if kinds == {int} else "double" if kinds and kinds <= {int, float} else "binary" if kinds == {bytes} else "string"
+
+
+def _sqlite_source():
+    """The data source of SQLite files; made when it is used, since its base needs a session's Python."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Part(InputPartition):
+        def __init__(self, query: str):
+            self.query = query
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict, kinds: list[str]):
+            self.path, self.queries, self.kinds = options["path"], json.loads(options["queries"]), kinds
+
+        def partitions(self):
+            return [Part(q) for q in self.queries]
+
+        def read(self, part):
+            import contextlib
+
+            cast = [{"double": float, "string": str}.get(k) for k in self.kinds]
+            with contextlib.closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as con:
+                found = con.execute(part.query)
+                while rows := found.fetchmany(FETCHED):
+                    for r in rows:
+                        yield tuple(v if v is None or c is None else c(v) for v, c in zip(r, cast))
+
+    class Sqlite(DataSource):
+        @classmethod
+        def name(cls):
+            return "colframe_sqlite"
+
+        def schema(self):
+            return self.options["schema"]
+
+        def reader(self, schema):
+            return Reader(dict(self.options), [f.dataType.simpleString() for f in schema.fields])
+
+    return Sqlite
+
+
+def read_sqlite(spark: SparkSession, path: str, query: str, column: str | None = None, bounds: Sequence[int] = ()) -> DataFrame:
+    """The result of a query to a SQLite file, read by tasks (the file has to be where they run).
+
+    With a whole-number ``column`` of the result and ``bounds``, each range between bounds is a task's.  Column
+    types are those of the first ``SEEN`` rows; a column whose later values are of another kind is text or double.
+    """
+    from colframe.shipping import ship
+
+    ship(spark)
     with sqlite3.connect(path) as con:
         found = con.execute(query)
-        names, rows = [d[0] for d in found.description], found.fetchall()
-    kinds = [next((_kind(r[i]) for r in rows if r[i] is not None), StringType()) for i in range(len(names))]
-    kinds = [DoubleType() if isinstance(k, LongType) and any(isinstance(r[i], float) for r in rows) else k for i, k in enumerate(kinds)]
-    rows = [tuple(float(v) if isinstance(k, DoubleType) and v is not None else v for v, k in zip(r, kinds)) for r in rows]
-    return spark.createDataFrame(rows, StructType([StructField(n, k) for n, k in zip(names, kinds)]))
+        names, rows = [d[0] for d in found.description], found.fetchmany(SEEN)
+    schema = ", ".join(f"`{n}` {_kind([r[i] for r in rows])}" for i, n in enumerate(names))
+    queries = [query]
+    if column and bounds:
+        ranges = [f"c < {bounds[0]} OR c IS NULL", *(f"c >= {a} AND c < {b}" for a, b in zip(bounds, bounds[1:])), f"c >= {bounds[-1]}"]
+        queries = [f'SELECT {", ".join(chr(34) + n + chr(34) for n in names)} FROM (SELECT *, "{column}" AS c FROM ({query})) WHERE {r}' for r in ranges]
+    spark.dataSource.register(_sqlite_source())
+    return spark.read.format("colframe_sqlite").options(path=path, queries=json.dumps(queries), schema=schema).load()
 
 
 def write_sqlite(df: DataFrame, path: str, table: str, if_exists: str = "replace") -> None:
+    """Rows go through the driver, a partition at a time: a SQLite file has one writer."""
     with sqlite3.connect(path) as con:
         if if_exists == "replace":
             con.execute(f'DROP TABLE IF EXISTS "{table}"')
@@ -111,6 +166,8 @@ class Database:
     def tables(self) -> list[str]:
         if self.url and self.url.startswith("sqlite"):
             return [r[0] for r in self.query("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").collect()]
+        if self.url:
+            return [r[0] for r in self.query("SELECT table_name FROM information_schema.tables WHERE table_schema NOT IN ('information_schema', 'pg_catalog') ORDER BY 1").collect()]
         return sorted(t.name for t in self.spark.catalog.listTables())
 
     def close(self) -> None:

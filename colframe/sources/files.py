@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from typing import Any
@@ -13,6 +15,18 @@ from pyspark.sql import functions as F
 from colframe.functions.math import nan_to_null
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a temporary one only for a local master."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="colframe-")
+        spark.sparkContext.setCheckpointDir(there)
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _cut(df: DataFrame, usecols: Sequence[str] | None, nrows: int | None) -> DataFrame:
     out = df.select(*usecols) if usecols else df
     return nan_to_null(out if nrows is None else out.limit(nrows))
@@ -169,10 +183,29 @@ def rows(df: DataFrame) -> Iterator[dict[str, Any]]:
 
 
 def tensors(df: DataFrame, target: str | None = None, batch: int = 1024) -> Iterator[tuple]:
-    """Batches of float32 arrays (features, target) for training loops."""
+    """Batches of float32 arrays (features, target) for training loops; one partition at a time is on the driver."""
     import numpy as np
 
     names = [c for c in df.columns if c != target]
-    for b in df.toArrow().to_batches(max_chunksize=batch):
-        x = np.stack([b.column(n).to_numpy(zero_copy_only=False).astype("float32") for n in names], 1)
-        yield (x, b.column(target).to_numpy(zero_copy_only=False).astype("float32")) if target else (x, None)
+    held: list[tuple] = []
+
+    def made() -> tuple:
+        x = np.array(held, dtype="float32")
+        return (x[:, : len(names)], x[:, len(names)]) if target else (x, None)
+
+    for row in df.select(*names, *([target] if target else [])).toLocalIterator(prefetchPartitions=True):
+        held.append(tuple(row))
+        if len(held) == batch:
+            yield made()
+            held.clear()
+    if held:
+        yield made()
+
+
+def features_and_target(df: DataFrame, target: str, columns: Sequence[str] | None = None):
+    """Arrays of the features and the target, on the driver."""
+    import numpy as np
+
+    names = list(columns or (c for c in df.columns if c != target))
+    rows_ = df.select(*names, target).collect()
+    return np.array([r[:-1] for r in rows_], dtype="float64").reshape(-1, len(names)), np.array([r[-1] for r in rows_])
