@@ -1,33 +1,40 @@
-"""Operator 9: repeated long substrings, by a logarithmic family of sampled suffix arrays.
+"""Operator 9: repeated long substrings, by a logarithmic family of suffix arrays.
 
 A byte is removed if a string of ``LENGTH`` bytes over it also starts earlier
 (smaller id, or same document and smaller offset), judged on the input.
 
-Method.  Suffixes are sampled by content: of each ``LENGTH`` bytes the ones
-whose first ``PREFIX`` bytes hash least start a sampled suffix, so two equal
-strings of that length have a sampled suffix at the same place in both.  Each
-is sent to the partition of its prefix and arrives in document order.  There
-every batch becomes a suffix array (sorted by prefix and by context: the
-``LENGTH`` bytes around the place on either side that a string through it can
-reach), is merge-scanned against the levels of the index, and becomes the
-smallest level; levels of similar size merge, so that there are
-logarithmically many.  The index holds the first suffix of each context only.
-
-* A suffix whose whole context came earlier: all strings through it did.
-* Suffixes of one prefix that also share the bytes on one side of it, as two
-  with a string in common do: their bytes are fetched and compared string by
-  string.  Prefixes with over ``DENSE`` contexts (a passage that very many
-  documents share has such at its edges) are compared by the hash of each
-  string in a distributed aggregate instead.
-
-Before the exchange, each batch of documents keeps the first suffix of each
-context and turns the others into spans, so that copies within a batch are not
-sent.  The text is moved by document once; both joins read that exchange.
+Method, in three steps.
+
+1. Suffixes are sampled by content: of each ``LENGTH`` bytes the one whose first
+   ``PREFIX`` bytes hash least starts a sampled suffix, so two equal strings of
+   that length have a sampled suffix at the same place in both.  (An array of all
+   suffixes takes 16 bytes for each byte of text, more than may be moved.)
+   Suffixes whose prefix, with the bytes on one side of it, occurs once drop out,
+   by their hashes: two with a string in common share a side.
+2. The bytes of the others' contexts (what a string through them can reach) are
+   fetched and sent to the partition of their prefix, where they arrive in
+   document order.  Each batch becomes a suffix array: sorted by the bytes from
+   the suffix on, then by those before it.  It is merge-scanned against the levels
+   of the index: a suffix whose whole context stands there, or earlier in the
+   batch, came earlier with all strings through it; with each other one of its
+   prefix the common lengths ahead and behind are measured, and where they come
+   to ``LENGTH`` bytes, these came earlier.  New contexts become the smallest
+   level; levels of equal size merge, so there are logarithmically many.
+3. Prefixes with over ``DENSE`` different contexts (a passage that very many
+   documents share has such at its edges) are not held in one task: their strings
+   are grouped as they are in a distributed aggregate.
+
+Hashes only say what to compare: all that is removed has been found equal byte by
+byte.  Before the first exchange, each batch of documents keeps the first suffix of
+each context and turns equal ones into spans, so that copies within a batch are
+not sent.  Prefixes that are frequent in a sample of the documents are candidates
+without meeting in one partition.  The text is moved by document once; the joins
+read that exchange.
 
 Defined cases: NULL text is empty; NULL ids come first in order (an id of
 -2^63 reads as NULL); rows with equal id and text are one place and get the
 same result; texts of any length are read in pieces; an empty table gives an
-empty table; other columns are not read.
+empty table; other columns are not read, and their names don't matter.
 """
 
 from __future__ import annotations
@@ -52,8 +59,14 @@ WIDTH = BEFORE + LENGTH
 SIDE = BEFORE // 2
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 15
-#: Contexts of one prefix that a task compares itself.
-DENSE = 20_000
+#: Different contexts of one prefix that a task compares itself.
+DENSE = 2000
+#: Contexts that a partition of the index holds on average, at most; pairs of them that are compared at once.
+HELD, PAIRS = 200_000, 100_000
+#: One document in so many is looked through for frequent prefixes; fewest there of one, and most of them.
+SAMPLE, OFTEN, MOST_OFTEN = 64, 64, 10_000
+#: Rows of one prefix over which all are candidates.
+RUN = 16_384
 NO_ID = -(1 << 63)
 
 _R = np.random.Generator(np.random.PCG64(20))
@@ -135,13 +148,15 @@ def spans_by(number: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
         yield int(number[a]), np.stack(merged(starts[a:b], ends[a:b]), 1).astype("<i8").tobytes()
 
 
-#: key: prefix hash of a suffix, or anything for spans; at: offset * 128 + bytes after it, or -1 for spans.
-_SAMPLES = "key long, context long, sides long, doc long, tie long, at long, spans binary"
-#: Spans of a document, or (``key`` not NULL) a suffix whose prefix has several contexts.
-_FOUND = "doc long, tie long, key long, at long, spans binary"
+#: A suffix: hashes of its prefix (and whether that is frequent), context and sides, and its place; or spans of a document.
+_SAMPLES = "key long, often boolean, context long, sides long, doc long, tie long, at long, spans binary"
+#: A candidate (``key`` not NULL), or spans of a document.
+_FOUND = "doc long, tie long, key long, context long, at long, spans binary"
 
 
-def _sample(schema: pa.Schema):
+def _sample(schema: pa.Schema, frequent: np.ndarray):
+    """Sampled suffixes of batches of documents, and spans of those whose context came earlier in the batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
@@ -151,12 +166,13 @@ def _sample(schema: pa.Schema):
         doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         rank = np.lexsort((tie, doc))
         doc, tie = doc[rank], tie[rank]
-        waiting, held, out = [], 0, []
+        waiting, held, out, texts = [], 0, [], {}
         repeated = np.r_[False, (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1])]
         for i, r in enumerate(rank.tolist()):
             if repeated[i]:
                 continue
             text = (batch.column(2)[r].as_py() or "").encode()
+            texts[i] = text
             for p in pieces_of(i, text):
                 waiting.append(p)
                 held += len(p[3])
@@ -174,14 +190,22 @@ def _sample(schema: pa.Schema):
         order = np.argsort(key ^ (context << np.uint64(1)), kind="stable")
         k, c = key[order], context[order]
         again = np.r_[False, (k[1:] == k[:-1]) & (c[1:] == c[:-1])]
+        if again.any():  # hashes are equal; the bytes have to be too
+            leader = np.maximum.accumulate(np.where(again, -1, np.arange(len(order))))
+            left = np.minimum(offset, BEFORE)
+            of = lambda i: texts[int(number[i])][int(offset[i] - left[i]) : int(offset[i] + right[i])]
+            for at in np.flatnonzero(again).tolist():
+                i, j = order[at], order[leader[at]]
+                again[at] = left[i] == left[j] and right[i] == right[j] and of(i) == of(j)
         first, later = np.sort(order[~again]), order[again]
         rows = list(spans_by(number[later], offset[later] - np.minimum(offset[later], BEFORE), offset[later] + right[later]))
         m, at = len(first), np.array([r[0] for r in rows], np.int64)
         none = np.zeros(len(at), np.int64)
         both = lambda x, y: pa.array(np.r_[x.view(np.int64), y.view(np.int64)])
+        often = np.isin(key[first], frequent)
         yield pa.RecordBatch.from_arrays(
             [
-                both(key[first], mixed(doc[at].view(np.uint64))), both(context[first], none), both(sides[first], none), both(doc[number[first]], doc[at]), both(tie[number[first]], tie[at]),
+                both(key[first], mixed(doc[at].view(np.uint64))), pa.array(np.r_[often, np.zeros(len(at), bool)]), both(context[first], none), both(sides[first], none), both(doc[number[first]], doc[at]), both(tie[number[first]], tie[at]),
                 both(offset[first] * 128 + right[first], none - 1), pa.array([None] * m + [r[1] for r in rows], pa.binary()),
             ], schema=schema,
         )
@@ -189,92 +213,178 @@ def _sample(schema: pa.Schema):
     return run
 
 
+def _candidates(schema: pa.Schema):
+    """Suffixes, in the order of prefix hashes, that share the bytes on a side with another; and spans as they are."""
+
+    def shared(codes: np.ndarray) -> np.ndarray:
+        """Which codes occur more than once; zero never does."""
+        order = np.argsort(codes, kind="stable")
+        twin = np.r_[codes[order][1:] == codes[order][:-1], False]
+        twin[1:] |= twin[:-1].copy()
+        out = np.empty(len(codes), bool)
+        out[order] = twin
+        return out & (codes != 0)
+
+    def told(key, often, context, sides, doc, tie, at) -> pa.RecordBatch:
+        lo, hi = sides & np.uint64(0xFFFFFFFF), sides >> np.uint64(32)
+        same = often.copy()
+        for side, salt in ((lo, np.uint64(_BASE)), (hi, np.uint64(_BASE ^ 0x5555))):
+            same |= shared(np.where(side > 0, mixed(key ^ side * salt) | np.uint64(1), np.uint64(0)))
+        return pa.RecordBatch.from_arrays([pa.array(doc[same]), pa.array(tie[same]), pa.array(key[same].view(np.int64)), pa.array(context[same].view(np.int64)), pa.array(at[same] >> 7), pa.nulls(int(same.sum()), pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        long: np.uint64 | None = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            spans = np.flatnonzero(cols[6] < 0)
+            if len(spans):
+                none = pa.nulls(len(spans), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cols[4][spans]), pa.array(cols[5][spans]), none, none, none, batch.column(7).take(pa.array(spans))], schema=schema)
+            now = tuple(x[cols[6] >= 0] for x in (cols[0].view(np.uint64), cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64), *cols[4:]))
+            if long is not None and len(now[0]):  # the rest of a run that is told as it comes
+                n = int(np.argmin(now[0] == long)) if (now[0] != long).any() else len(now[0])
+                yield told(now[0][:n], np.ones(n, bool), *(x[:n] for x in now[2:]))
+                now = tuple(x[n:] for x in now)
+                long = long if not len(now[0]) else None
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0].view(np.int64), held[0].view(np.int64)[-1], "left"))
+            if last:
+                yield told(*(x[:last] for x in held))
+                held = tuple(x[last:] for x in held)
+            if len(held[0]) > RUN:
+                long = held[0][0]
+                yield told(held[0], np.ones(len(held[0]), bool), *held[2:])
+                held = tuple(x[:0] for x in held)
+        if held is not None and len(held[0]):
+            yield told(*held)
+
+    return run
+
+
+# Suffix arrays. A row has the bytes from the suffix on, those before it in reverse, and how many there are.
+
+_AHEAD, _BEHIND = -(-LENGTH // 8) * 8, -(-BEFORE // 8) * 8
+_ROW = _AHEAD + _BEHIND + 8
+
+
+def rows_of(before: list[int], contexts: list[bytes]) -> np.ndarray:
+    """A row of bytes for each context, whose order is that of the suffixes, and then of what is before them."""
+    end = bytes(6)
+    parts = []
+    for b, c in zip(before, contexts):
+        parts += [c[b:].ljust(_AHEAD, b"\0"), c[:b][::-1].ljust(_BEHIND, b"\0"), bytes((len(c) - b + 1, b + 1)), end]
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _ROW)
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{_ROW}").ravel()
+
+
+def _prefix(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, :PREFIX]).view(f"S{PREFIX}").ravel()
+
+
+def _common(x: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Bytes before the first that isn't zero, by row of words, ``most`` at most."""
+    some = x != 0
+    first = some.argmax(1)
+    word = x[np.arange(len(x)), first]
+    low = word & (~word + np.uint64(1))
+    n = 8 * first + np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8
+    return np.minimum(np.where(some.any(1), n, 1 << 20), most)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common lengths behind and ahead of the suffixes of rows ``a`` and ``b``."""
+    x = a[:, : _AHEAD + _BEHIND].copy().view(np.uint64) ^ b[:, : _AHEAD + _BEHIND].copy().view(np.uint64)
+    most = np.minimum(a[:, -8:-6], b[:, -8:-6]).astype(np.int64) - 1
+    return _common(x[:, _AHEAD // 8 :], most[:, 1]), _common(x[:, : _AHEAD // 8], most[:, 0])
+
+
 class Levels:
-    """The index: levels of sorted arrays, each at least twice as long as the next."""
+    """The index: levels of suffix arrays, each at least twice as long as the next."""
 
     def __init__(self):
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    def has(self, pairs: np.ndarray) -> np.ndarray:
-        """Which of these (prefix, context) hashes stand in a level."""
-        found = np.zeros(len(pairs), bool)
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level["pairs"], pairs), len(level["pairs"]) - 1)
-            found |= level["pairs"][at] == pairs
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def has(self, whole: np.ndarray) -> np.ndarray:
+        """Which of these sorted contexts stand in a level."""
+        found = np.zeros(len(whole), bool)
+        for _, of, _ in self.levels:
+            at = np.minimum(np.searchsorted(of, whole), len(of) - 1)
+            found |= of[at] == whole
         return found
 
-    def tell(self, codes: np.ndarray) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
-        """Which of these sorted codes stand in a level, and the suffixes with them that were not told before."""
-        known, told = np.zeros(len(codes), bool), []
-        for level in self.levels:
-            lo, hi = np.searchsorted(level["codes"], codes, "left"), np.searchsorted(level["codes"], codes, "right")
-            known |= hi > lo
-            n = hi - lo
-            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            at = at[~level["told"][at]]
-            level["told"][at] = True
-            if len(at):
-                told.append({c: level[c][at] for c in ("doc", "tie", "at", "key")})
-        return known, told
-
-    def add(self, level: dict[str, np.ndarray]) -> None:
-        self.levels.append(level)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]["codes"]) > len(self.levels[-2]["codes"]):
-            a, b = self.levels.pop(), self.levels.pop()
-            both = {c: np.concatenate((a[c], b[c])) for c in a}
-            order = np.argsort(both["codes"], kind="stable")
-            self.levels.append({c: np.sort(x, kind="stable") if c == "pairs" else x[order] for c, x in both.items()})
+    def meet(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of sorted rows, and rows of the levels with the same prefix, in pieces."""
+        prefix = _prefix(rows)
+        for level, _, prefixes in self.levels:
+            lo, hi = np.searchsorted(prefixes, prefix, "left"), np.searchsorted(prefixes, prefix, "right")
+            some = np.flatnonzero(hi > lo)
+            n = (hi - lo)[some]
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // PAIRS, prepend=-1))
+            for part, size in zip(np.split(some, cuts[1:]), np.split(n, cuts[1:])):
+                if len(part):
+                    yield np.repeat(part, size), level[np.repeat(lo[part] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+
+    def add(self, rows: np.ndarray) -> None:
+        """Another level of sorted rows, merged with those that aren't twice as long."""
+        self.levels.append((rows, _whole(rows), _prefix(rows)))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+            (b, x, _), (a, y, _) = self.levels.pop(), self.levels.pop()
+            # a merge: each array's place is its own number plus the other's before it
+            place = np.r_[np.arange(len(a)) + np.searchsorted(x, y, "left"), np.arange(len(b)) + np.searchsorted(y, x, "right")]
+            both = np.empty((len(a) + len(b), _ROW), np.uint8)
+            both[place] = np.concatenate((a, b))
+            self.levels.append((both, _whole(both), _prefix(both)))
+
+
+def _within(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of numbers of sorted rows with one prefix, in pieces."""
+    prefix = _prefix(rows)
+    starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(rows))
+    for d in range(1, int(sizes.max(initial=0))):
+        i = np.flatnonzero(left > d)
+        yield i, i + d
 
 
 def _scan(schema: pa.Schema):
+    """Spans of what came earlier, from contexts ``(doc, tie, at, before, context)`` in document order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Levels()
-        last = None
+        index, last = Levels(), None
         for batch in batches:
-            key, context, sides, doc, tie, at = (batch.column(i).to_numpy() for i in range(6))
-            spans = np.flatnonzero(at < 0)
-            if len(spans):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[spans]), pa.array(tie[spans]), pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.int64()), batch.column(6).take(pa.array(spans))], schema=schema)
-            keep = at >= 0
-            key, context, sides, doc, tie, at = (x[keep] for x in (key.view(np.uint64), context.view(np.uint64), sides.view(np.uint64), doc, tie, at))
-            if not len(key):
-                continue
-            pairs = mixed(key) ^ context
-            place = np.stack((doc, tie, at, pairs.view(np.int64)))
+            doc, tie, at, before = (batch.column(i).to_numpy() for i in range(4))
+            rows = rows_of(before.tolist(), batch.column(4).to_pylist())
+            place = np.stack((doc, tie, at))
             fresh = np.r_[last is None or bool((place[:, 0] != last).any()), (place[:, 1:] != place[:, :-1]).any(0)]  # else a repeated row's
             last = place[:, -1]
-            key, pairs, sides, doc, tie, right, at = (x[fresh] for x in (key, pairs, sides, doc, tie, at & 127, at >> 7))
-            if not len(key):
-                continue
-            order = np.argsort(pairs, kind="stable")
-            again = np.zeros(len(key), bool)
-            again[order[1:]] = pairs[order[1:]] == pairs[order[:-1]]
-            known = index.has(pairs)
-            dup = again | known
-            if dup.any():
-                a, d, t = at[dup], doc[dup], tie[dup]
-                number = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-                rows = list(spans_by(number, a - np.minimum(a, BEFORE), a + right[dup]))
-                who = np.unique(number, return_index=True)[1][[r[0] for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(d[who]), pa.array(t[who]), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
-            new = np.flatnonzero(~dup)
+            doc, tie, at, rows = doc[fresh], tie[fresh], at[fresh], rows[fresh]
+            whole = _whole(rows)
+            order = np.argsort(whole, kind="stable")
+            whole = whole[order]
+            known = np.r_[False, whole[1:] == whole[:-1]] | index.has(whole)
+            found = [(order[known], rows[order[known], -7].astype(np.int64) - 1, rows[order[known], -8].astype(np.int64) - 1)]
+            new = order[~known]
+            some = rows[new]
+            for mine, theirs in index.meet(some):
+                found.append((new[mine], *common(some[mine], theirs)))
+            for i, j in _within(some):
+                found.append((np.maximum(new[i], new[j]), *common(some[i], some[j])))
+            who, behind, ahead = (np.concatenate(x) for x in zip(*found))
+            long = behind + ahead >= LENGTH
+            who, behind, ahead = who[long], behind[long], ahead[long]
+            spans = list(spans_by(who, at[who] - behind, at[who] + ahead))
+            if spans:
+                of = [s[0] for s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tie[of]), pa.array([s[1] for s in spans], pa.binary())], schema=schema)
             if len(new):
-                lo, hi = sides[new] & np.uint64(0xFFFFFFFF), sides[new] >> np.uint64(32)
-                codes = np.r_[mixed(key[new] + lo * np.uint64(_BASE))[lo > 0], mixed(key[new] ^ hi * np.uint64(_BASE))[hi > 0]]
-                rows = np.r_[new[lo > 0], new[hi > 0]]
-                order = np.argsort(codes, kind="stable")
-                codes, rows = codes[order], rows[order]
-                twin = np.r_[codes[1:] == codes[:-1], False]
-                twin[1:] |= twin[:-1].copy()
-                unique, back = np.unique(codes, return_inverse=True)
-                there, told = index.tell(unique)
-                tell = twin | there[back]
-                level = {"codes": codes, "pairs": np.sort(pairs[new]), "key": key[rows], "doc": doc[rows], "tie": tie[rows], "at": at[rows], "told": tell}
-                if tell.any():
-                    told.append({c: level[c][tell] for c in ("doc", "tie", "at", "key")})
-                for x in told:
-                    yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["tie"]), pa.array(x["key"].view(np.int64)), pa.array(x["at"]), pa.nulls(len(x["key"]), pa.binary())], schema=schema)
-                index.add(level)
+                index.add(some)
 
     return run
 
@@ -300,68 +410,17 @@ def _fetch(schema: pa.Schema):
     return run
 
 
-def strings_of(before: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings of ``LENGTH`` bytes through each suffix, by how far before it they start, and which exist."""
-    bytes_ = np.zeros((len(contexts), WIDTH), np.uint8)
-    right = np.array([len(c) for c in contexts]) - before
-    for row, b, c in zip(bytes_, before.tolist(), contexts):
-        row[BEFORE - b : BEFORE - b + len(c)] = np.frombuffer(c, np.uint8)
-    sums = np.concatenate((np.zeros((len(contexts), 1), np.uint64), np.cumsum(_TABLE[bytes_] * _POWERS[:WIDTH], axis=1)), axis=1)
-    o = np.arange(PLACES)
-    hashes = mixed((sums[:, WIDTH - o] - sums[:, BEFORE - o]) * _INVERSE[BEFORE - o])
-    return hashes, (o <= before[:, None]) & (LENGTH - o <= right[:, None])
-
-
-def _resolve(schema: pa.Schema):
-    """Spans of the strings that came earlier, from contexts in the order of prefix and place."""
-
-    def spans(key: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, hashes: np.ndarray, real: np.ndarray) -> pa.RecordBatch | None:
-        place = np.stack((key, doc, tie, at))
-        once = np.r_[True, (place[:, 1:] != place[:, :-1]).any(0)]  # a suffix can be told for both of its sides
-        key, doc, tie, at, hashes, real = (x[once] for x in (key, doc, tie, at, hashes, real))
-        groups = mixed(hashes ^ mixed(key.view(np.uint64)[:, None] + np.arange(PLACES).astype(np.uint64)))
-        row, o = np.nonzero(real)
-        flat = groups[row, o]
-        order = np.argsort(flat, kind="stable")
-        later = order[1:][flat[order[1:]] == flat[order[:-1]]]
-        if not len(later):
-            return None
-        found = list(spans_by(row[later], at[row[later]] - o[later], at[row[later]] - o[later] + LENGTH))
-        who = [r[0] for r in found]
-        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(tie[who]), pa.array([r[1] for r in found], pa.binary())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                key, doc, tie, at, before = (part.column(i).to_numpy() for i in range(5))
-                hashes, real = strings_of(before, part.column(5).to_pylist())
-                held.append((key, doc, tie, at, hashes, real))
-                if key[0] == key[-1] and (len(held) == 1 or held[0][0][0] == key[0]):
-                    continue
-                rows = tuple(np.concatenate(x) for x in zip(*held))
-                n = int(np.argmax(rows[0] == rows[0][-1]))
-                if (found := spans(*(x[:n] for x in rows))) is not None:
-                    yield found
-                held = [tuple(x[n:] for x in rows)]
-        if held and (found := spans(*(np.concatenate(x) for x in zip(*held)))) is not None:
-            yield found
-
-    return run
-
-
 def _strings(schema: pa.Schema):
     """A row for each string through each suffix, for prefixes with very many contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                key, doc, tie, at, before = (part.column(i).to_numpy() for i in range(5))
-                hashes, real = strings_of(before, part.column(5).to_pylist())
-                row, o = np.nonzero(real)
-                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(hashes[row, o].view(np.int64)), pa.array(o.astype(np.int32)), pa.array(doc[row]), pa.array(tie[row]), pa.array(at[row] - o)], schema=schema)
+            for lo in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for _, doc, tie, at, before, c in zip(*(x.to_pylist() for x in batch.slice(lo, 256).columns)):
+                    out += [(c[i : i + LENGTH], doc, tie, at - before + i) for i in range(min(before, len(c) - LENGTH) + 1)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
@@ -387,6 +446,15 @@ def _remove(schema: pa.Schema):
     return run
 
 
+def frequent_prefixes(docs: DataFrame) -> np.ndarray:
+    """Prefix hashes that are frequent in a sample of ``docs (doc, tie, text)``: they only decide where suffixes are sent."""
+    schema = to_arrow(docs.sparkSession, _SAMPLES)
+    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(_sample(schema, np.empty(0, np.uint64)), _SAMPLES).filter("at >= 0").groupBy("key").agg(F.count("*").alias("n"))
+    top = counts.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST_OFTEN).select("key").collect()
+    return np.array([r.key for r in top], np.int64).view(np.uint64)
+
+
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", dense: int = DENSE, kept: bool = True) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; ``kept``: the remaining bytes, on demand."""
     spark = df.sparkSession
@@ -394,22 +462,29 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", dense: int =
     arrow = lambda x: to_arrow(spark, x)
     twice = not df.groupBy(key).count().filter("count > 1").isEmpty()
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), (F.xxhash64(text) if twice else F.lit(0).cast("long")).alias("tie"), F.col(text).alias("text"))
-    samples = docs.mapInArrow(_sample(arrow(_SAMPLES)), _SAMPLES).repartition(parts, "key").sortWithinPartitions("doc", "tie", "at", "key", "context")
-    found = written(samples.mapInArrow(_scan(arrow(_FOUND)), _FOUND), "suffixes")
-    asked = found.filter("key is not null").select("doc", "tie", F.struct("key", "at").alias("q")).groupBy("doc", "tie").agg(F.collect_list("q").alias("asked"))
-    contexts = docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_fetch(arrow(_CONTEXTS)), _CONTEXTS)
-    many = found.filter("key is not null").groupBy("key").count().filter(F.col("count") > dense).select("key")
-    dense_ones = not many.isEmpty()
+    samples = docs.mapInArrow(_sample(arrow(_SAMPLES), frequent_prefixes(docs)), _SAMPLES)
+    spread = F.when(F.col("often"), F.xxhash64("doc", "at")).otherwise(F.col("key"))
+    samples = samples.repartition(parts, spread).sortWithinPartitions("key")
+    found = written(samples.mapInArrow(_candidates(arrow(_FOUND)), _FOUND), "candidates")
+    asked = found.filter("key is not null").select("doc", "tie", "key", "context", "at")
+    crowded = asked.groupBy("key", "context").agg(F.first("at").alias("x")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select("key")
+    crowded = written(crowded, "crowded")
+
+    def contexts(asked: DataFrame) -> DataFrame:
+        by_doc = asked.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        return docs.join(by_doc, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_fetch(arrow(_CONTEXTS)), _CONTEXTS)
+
     spans_schema = "doc long, tie long, spans binary"
-    direct = contexts.join(many, "key", "left_anti") if dense_ones else contexts
-    direct = direct.repartition(parts, "key").sortWithinPartitions("key", "doc", "tie", "at").mapInArrow(_resolve(arrow(spans_schema)), spans_schema)
-    spans = found.filter("key is null").select("doc", "tie", "spans").union(direct)
-    if dense_ones:
-        some = contexts.join(many, "key", "left_semi")
-        schema = "key long, string long, o int, doc long, tie long, start long"
-        each = some.mapInArrow(_strings(arrow(schema)), schema)
-        least = each.groupBy("key", "string", "o").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
-        again = each.join(least, ["key", "string", "o"]).filter(F.struct("doc", "tie", "start") > F.col("first"))
+    some = crowded.isEmpty()
+    index_parts = max(parts, -(-asked.count() // HELD))
+    indexed = contexts(asked if some else asked.join(crowded, "key", "left_anti")).repartition(index_parts, "key").select("doc", "tie", "at", "before", "context")
+    indexed = indexed.sortWithinPartitions("doc", "tie", "at").mapInArrow(_scan(arrow(spans_schema)), spans_schema)
+    spans = found.filter("key is null").select("doc", "tie", "spans").union(indexed)
+    if not some:
+        schema = "string binary, doc long, tie long, start long"
+        each = contexts(asked.join(crowded, "key", "left_semi")).mapInArrow(_strings(arrow(schema)), schema)
+        least = each.groupBy("string").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
+        again = each.join(least, "string").filter(F.struct("doc", "tie", "start") > F.col("first"))
         pair = lambda x: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), 15 - 2 * i, 2) for i in range(8))))
         spans = spans.union(again.select("doc", "tie", F.concat(pair(F.col("start")), pair(F.col("start") + LENGTH)).alias("spans")))
     by_doc = spans.groupBy("doc", "tie").agg(F.collect_list("spans").alias("spans"))

@@ -283,9 +283,79 @@ def test_removed_cases(docs, none):
 
 def test_levels_stay_few():
     index = suffixes.Levels()
-    for i in range(200):
-        n = 10
-        x = np.arange(i * n, (i + 1) * n, dtype=np.uint64)
-        index.add({"codes": x, "pairs": x, "key": x, "doc": x.view(np.int64), "tie": x.view(np.int64), "at": x.view(np.int64), "told": np.zeros(n, bool)})
-    assert len(index.levels) <= 12 and sum(len(v["codes"]) for v in index.levels) == 2000
-    assert index.has(np.array([5, 1999, 2000], np.uint64)).tolist() == [True, True, False]
+    made = [suffixes.rows_of([0], [f"{i:0>100}".encode()]) for i in range(2000)]
+    for i in random.Random(1).sample(range(200), 200):
+        index.add(np.concatenate(made[i * 10 : i * 10 + 10]))
+    assert len(index.levels) <= 12 and sum(len(v[0]) for v in index.levels) == 2000
+    for rows, whole, _ in index.levels:
+        assert (whole[1:] > whole[:-1]).all() and (suffixes._whole(rows) == whole).all()
+    asked = [suffixes.rows_of([0], [x.encode().rjust(100, b"0")]) for x in ("5", "1999", "2000")]
+    assert index.has(suffixes._whole(np.concatenate(asked))).tolist() == [True, True, False]
+
+
+def test_common_lengths():
+    r = random.Random(9)
+    for _ in range(300):
+        text = [bytes(r.choice(b"ab\0") for _ in range(r.randint(100, 168))) for _ in range(2)]
+        before = [r.randint(0, min(68, len(t) - 32)) for t in text]
+        text = [t[: b + 100] for t, b in zip(text, before)]
+        rows = suffixes.rows_of(before, text)
+        behind, ahead = suffixes.common(rows[:1], rows[1:])
+        (a, b), (x, y) = text, before
+        same = lambda p, q: next((i for i, (u, v) in enumerate(zip(p, q)) if u != v), min(len(p), len(q)))
+        assert (behind[0], ahead[0]) == (same(a[:x][::-1], b[:y][::-1]), same(a[x:], b[y:]))
+
+
+@pytest.mark.parametrize("bits", [2, 12])
+def test_hashes_that_collide_remove_nothing(spark, monkeypatch, tmp_path, bits):
+    """With hashes of a few bits nearly all suffixes are candidates of each other; results stay exact."""
+    full = suffixes.sampled
+
+    def few(pieces):
+        number, offset, right, key, context, sides = full(pieces)
+        low, one = np.uint64((1 << bits) - 1), np.uint64(1)
+        cut = lambda x: np.where(x > 0, x & low | one, x)
+        return number, offset, right, key & low | one, context & low, cut(sides >> np.uint64(32)) << np.uint64(32) | cut(sides & np.uint64(0xFFFFFFFF))
+
+    monkeypatch.setattr(suffixes, "sampled", few)
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    passages = [noise(k) for k in (99, 100, 101, 250)]
+    rows = [(i, noise(r.randint(0, 200)) + r.choice(passages) + noise(r.randint(0, 200))) for i in range(60)]
+    batch = suffixes.pa.RecordBatch.from_arrays([suffixes.pa.array([i for i, _ in rows]), suffixes.pa.array([0] * 60), suffixes.pa.array([t for _, t in rows])], ["doc", "tie", "text"])
+    schema = suffixes.to_arrow(spark, suffixes._SAMPLES)
+    made = [b for one in (batch.slice(0, 30), batch.slice(30)) for b in suffixes._sample(schema, np.empty(0, np.uint64))(iter([one]))]
+    table = suffixes.pa.Table.from_batches(made).sort_by("key").combine_chunks()
+    found = list(suffixes._candidates(suffixes.to_arrow(spark, suffixes._FOUND))(iter(table.to_batches(max_chunksize=50))))
+    spans, asked = {}, []
+    for x in (x for b in found for x in b.to_pylist()):
+        if x["key"] is None:
+            spans.setdefault(x["doc"], []).append(x["spans"])
+        else:
+            asked.append((x["doc"], x["tie"], x["at"]))
+    raw = dict((i, t.encode()) for i, t in rows)
+    contexts = [(d, t, at, min(at, 68), raw[d][max(0, at - 68) : at + 100]) for d, t, at in sorted(asked)]
+    kinds = suffixes.pa.schema([("doc", "int64"), ("tie", "int64"), ("at", "int64"), ("before", "int32"), ("context", "binary")])
+    whole = suffixes.pa.RecordBatch.from_arrays([suffixes.pa.array(c, f.type) for c, f in zip(zip(*contexts), kinds)], schema=kinds)
+    scanned = suffixes._scan(suffixes.to_arrow(spark, "doc long, tie long, spans binary"))(iter([whole.slice(i, 70) for i in range(0, whole.num_rows, 70)]))
+    for x in (x for b in scanned for x in b.to_pylist()):
+        spans.setdefault(x["doc"], []).append(x["spans"])
+    want = plain_removed(rows)
+    for i, _ in rows:
+        pairs = np.frombuffer(b"".join(spans.get(i, [])), "<i8").reshape(-1, 2)
+        gone = sum((b - a for a, b in zip(*suffixes.merged(pairs[:, 0], pairs[:, 1]))), 0) if len(pairs) else 0
+        assert gone == want[i][1]
+
+
+def test_frequent_prefixes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLE", 1)
+    monkeypatch.setattr(suffixes, "OFTEN", 3)
+    monkeypatch.setattr(suffixes, "RUN", 4)
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = noise(300)
+    rows = [(i, noise(r.randint(0, 150)) + passage + noise(r.randint(0, 150))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for dense in (suffixes.DENSE, 5):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.removed(df, dense=dense).collect()}
+        assert got == plain_removed(rows)
