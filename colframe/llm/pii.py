@@ -1,27 +1,32 @@
 """Operator 6: personal data by patterns and a linear-chain conditional random field.
 
-Method: a CRF over a text's words with word-shape features of the word and
-its two neighbours, trained here from a small labelled table (``examples``)
-by gradient ascent on the regularised likelihood, decoded by Viterbi in numpy
-batches.  Labels: none, and first or further word of an e-mail address, IP
-address, card number or phone number.  A word without a digit or ``@`` can
-only have the label none; so decoding falls into independent runs of the other
-words, and only these are looked at, with the same result as over whole texts.
-A decoded span is kept if it passes the check of its kind and overlaps no span
-of the patterns; the spans of the patterns always stay.
+Method: a CRF over a text's words with word-shape features of the word and its
+two neighbours, trained here from a small labelled table written by hand
+(``pii_table``) by gradient ascent on the regularised likelihood, decoded by
+Viterbi in numpy batches.  Labels: none, and first or further word of an e-mail
+address, IP address, card number, phone number or secret (a key, token or
+password).  A word has a label other than none only if it has a digit or ``@``,
+or stands by a bracketed "at" or "dot"; so decoding falls into independent runs
+of such words, and only these are looked at, with the same result as over whole
+texts.  A decoded span is kept if it passes the check of its kind and overlaps no
+span of the patterns; the spans of the patterns always stay.  What the field adds
+beside them: national phone numbers, addresses of IP version 6 and with
+bracketed points, e-mail addresses that are spelled out or have a bare host,
+cards with other separators, and secrets.
 
 The patterns are read in time linear in the text, with the result of leftmost
 non-overlapping matching.
 
-Defined cases: NULL text: no spans; texts of any length are read whole;
-repeated rows are read each; an empty table gives an empty table; other
-columns are not read.
+Defined cases: NULL text: no spans; texts, words and gaps of any length are read
+whole; spans that begin at one place stand in the order of their kinds; repeated
+rows are read each; an empty table gives an empty table; other columns are not
+read, and their names don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -30,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from colframe.llm.common import documents, map_columns
+from colframe.llm.pii_table import sentences
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the patterns, and that which the field alone finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-SHAPES_KEPT = 200_000
+#: Scored words that a task keeps, and the longest of them.
+SHAPES_KEPT, LONGEST_KEPT = 200_000, 64
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -41,7 +50,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
+_SPELLED = re.compile(r"[\[({](?:at|dot)[\])}]", re.IGNORECASE)
 _BLANK = " \t\n\x0b\x0c\r"
 _WORD_END = re.compile(r"[^\x20\x09-\x0D]*")
 
@@ -92,69 +102,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # The model
 
 
+_PUNCTUATION = ".,;:!?()<>\"'"
+
+
 def shape(word: str) -> str:
-    """A word's form: letters, digits and other characters in runs of at most four."""
+    """A word's form: runs of digits of at most four, letters and other characters of one."""
     out, last, n = [], "", 0
-    for c in word[:64]:
-        k = "d" if "0" <= c <= "9" else "a" if c.isalpha() else c if c in "@.+-()/:=,%$#<>\"'" else "o"
+    for c in word:
+        k = "d" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c if c in "@.+-()[]/:=,%$#<>\"'_" else "o"
         n = n + 1 if k == last else 1
         last = k
         if n <= (4 if k == "d" else 1):
             out.append(k)
-    return "".join(out) + ("~" if len(word) > 64 else "")
+    return "".join(out)
 
 
-def features(word: str) -> list[str]:
-    digits = sum("0" <= c <= "9" for c in word)
-    core = word.strip(".,;:!?()<>\"'")
-    return [
-        "shape=" + shape(word), "core=" + shape(core), f"digits={min(digits, 4) if digits < 7 else 7 if digits < 12 else 12 if digits < 20 else 20}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}",
-        f"plus={word[:1] == '+'}", f"open={word[:1] == '('}", f"letters={any(c.isalpha() for c in core)}", f"hyphens={min(core.count('-'), 3)}", f"ends={word[-1:] in '.,;:'}",
-    ]
+def _size(n: int) -> int:
+    return next((k for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 40) if n <= k), 99)
 
 
-@lru_cache(maxsize=1)
-def examples(n: int = 600, seed: int = 11) -> list[tuple[list[str], list[str]]]:
-    """The labelled table: sentences of words and their labels, from templates."""
-    r = random.Random(seed)
-    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 9)))
-    octet = lambda: str(r.randint(0, 255))
-    phones = (lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"+{d(2)} {d(2)} {d(4)} {d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"+{d(2)}{d(9)}", lambda: f"+{d(2)} {d(3)} {d(7)}")
-    made = {
-        "email": (lambda: f"{word()}@{word()}.com", lambda: f"{word()}.{d(2)}@{word()}{d(1)}.{word()}.org", lambda: f"<{word()}_{word()}@{word()}.net>", lambda: f"{word()}@{word()}"),
-        "ip": (lambda: ".".join(octet() for _ in range(4)), lambda: ".".join(octet() for _ in range(4)) + ":" + d(4)),
-        "card": (lambda: d(16), lambda: " ".join(d(4) for _ in range(4)), lambda: "-".join(d(4) for _ in range(4)), lambda: d(13)),
-        "phone": phones,
-    }
-    none = (
-        lambda: d(r.randint(1, 6)), lambda: f"{d(1)}.{d(r.randint(1, 3))}", lambda: f"{d(2)}:{d(2)}", lambda: f"20{d(2)}-0{d(1)}-1{d(1)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"{word()}{d(2)}", lambda: f"{d(2)}%", lambda: f"${d(3)}",
-        lambda: f"{d(1)},{d(3)}", lambda: f"{word()}={r.getrandbits(72):x}", lambda: f'"{r.getrandbits(160):040x}"', lambda: f"#{d(3)}", lambda: f"({d(4)})", lambda: f"[{d(1)}]", lambda: f"@{word()}", lambda: f"{d(1)}-{d(1)}", lambda: f"{d(2)}/{d(2)}/{d(4)}",
-    )
-    out = []
-    for _ in range(n):
-        words, labels = [], []
-        for _ in range(r.randint(1, 4)):
-            for _ in range(r.randint(0, 3)):
-                words.append(r.choice((word(), word().capitalize(), word() + r.choice(".,;:"))))
-                labels.append("O")
-            if r.random() < 0.5:
-                kind = r.choice(KINDS)
-                parts = r.choice(made[kind])().split(" ")
-                labels += [f"{'I' if i else 'B'}-{kind}" for i in range(len(parts))]
-                if r.random() < 0.25:
-                    parts[-1] += r.choice(".,;")
-                words += parts
-            else:
-                words.append(r.choice(none)())
-                labels.append("O")
-        out.append((words, labels))
+def features(word: str) -> list[str]:
+    """Of a word's shape; of one of letters alone (with marks around) the word too."""
+    core = word.strip(_PUNCTUATION)
+    digits = sum("0" <= c <= "9" for c in core)
+    upper, lower = any(c.isupper() for c in core), any(c.islower() for c in core)
+    out = [
+        "shape=" + shape(core), "ends=" + word[-1:] if word[-1:] in _PUNCTUATION else "ends=", f"digits={_size(digits)}", f"length={_size(len(core))}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"colons={min(core.count(':'), 3)}",
+        f"plus={word[:1] == '+'}", f"open={word[:1] == '('}", f"hyphens={min(core.count('-'), 3)}", f"mixed={digits > 0}{upper}{lower}", f"hex={bool(re.fullmatch('[0-9a-f]{20,}', core))}", f"spelled={bool(_SPELLED.search(word))}", f"points={'[.]' in word}",
+    ]
+    if digits == 0 and len(core) <= 16:
+        out.append("word=" + core.lower())
     return out
 
 
-def possible(word: str) -> bool:
-    """Whether a word can have another label than none."""
-    return bool(_MARK.search(word))
+def possible(words: list[str]) -> list[bool]:
+    """Which words can have another label than none."""
+    spelled = [bool(_SPELLED.search(w)) for w in words]
+    near = lambda i: any(0 <= j < len(words) and spelled[j] for j in (i - 1, i, i + 1))
+    return [bool(_MARK.search(w)) or near(i) for i, w in enumerate(words)]
 
 
 class CRF:
@@ -169,10 +154,12 @@ class CRF:
         key = (at, word)
         found = self.scores.get(key)
         if found is None:
-            if len(self.scores) > SHAPES_KEPT:
-                self.scores.clear()
             ids = [i for f in (features(word) if word else ["edge"]) if (i := self.columns.get(f"{at}{f}")) is not None]
-            found = self.scores[key] = self.weights[ids].sum(0)
+            found = self.weights[ids].sum(0)
+            if len(word) <= LONGEST_KEPT:
+                if len(self.scores) > SHAPES_KEPT:
+                    self.scores.clear()
+                self.scores[key] = found
         return found
 
     @classmethod
@@ -183,8 +170,9 @@ class CRF:
         sparse, gold = [], np.zeros((n, length), np.int64)
         real, free = np.zeros((n, length), bool), np.zeros((n, length), bool)
         for i, (words, labels) in enumerate(table):
+            can = possible(words)
             for t, y in enumerate(labels):
-                gold[i, t], real[i, t], free[i, t] = index[y], True, possible(words[t])
+                gold[i, t], real[i, t], free[i, t] = index[y], True, can[t]
                 for at in (-1, 0, 1):
                     w = words[t + at] if 0 <= t + at < len(words) else ""
                     sparse += [(i * length + t, columns.setdefault(f"{at}{f}", len(columns))) for f in (features(w) if w else ["edge"])]
@@ -255,8 +243,24 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def model() -> CRF:
-    """The field trained from ``examples``."""
-    return CRF.trained(examples())
+    """The field trained from the labelled table."""
+    return CRF.trained(sentences())
+
+
+def _word_before(text: str, at: int) -> tuple[int, int]:
+    while at and text[at - 1] in _BLANK:
+        at -= 1
+    end = at
+    while at and text[at - 1] not in _BLANK:
+        at -= 1
+    return at, end
+
+
+def _word_after(text: str, at: int) -> tuple[int, int]:
+    n = len(text)
+    while at < n and text[at] in _BLANK:
+        at += 1
+    return at, _WORD_END.match(text, at).end()
 
 
 def runs_of(text: str) -> list[tuple[str, list[str], str, list[int]]]:
@@ -268,7 +272,16 @@ def runs_of(text: str) -> list[tuple[str, list[str], str, list[int]]]:
         while start and text[start - 1] not in _BLANK:
             start -= 1
         end = _WORD_END.match(text, m.start()).end()
-        found.append((start, end))
+        spelled = _SPELLED.search(text, start, end)
+        before = _word_before(text, start) if spelled else (0, 0)
+        if before[0] < before[1] and (not found or found[-1][0] < before[0]):
+            found.append(before)
+        if not found or found[-1][0] < start:
+            found.append((start, end))
+        if spelled and (after := _word_after(text, end))[0] < after[1]:
+            found.append(after)
+            # it may have marks too: the search goes on from its beginning, and passes it over as found
+            end = after[0] if _SPELLED.search(text, *after) else after[1]
         m = _MARK.search(text, end)
     out: list[tuple[str, list[str], str, list[int]]] = []
     last = -1
@@ -277,24 +290,39 @@ def runs_of(text: str) -> list[tuple[str, list[str], str, list[int]]]:
             out[-1][1].append(text[start:end])
             out[-1][3].append(start)
         else:
-            before = text[max(0, start - 80) : start].rstrip(_BLANK)
-            cut = max(map(before.rfind, _BLANK))
-            out.append((before[cut + 1 :], [text[start:end]], "", [start]))
+            out.append((text[slice(*_word_before(text, start))], [text[start:end]], "", [start]))
         last = end
-        after = text[end : end + 80].lstrip(_BLANK)
-        out[-1] = (*out[-1][:2], after[: min((i for i in map(after.find, _BLANK) if i >= 0), default=80)], out[-1][3])
+        out[-1] = (*out[-1][:2], text[slice(*_word_after(text, end))], out[-1][3])
     return out
 
 
+def _spelled_out(s: str) -> str:
+    return re.sub(r"\s*[\[({]dot[\])}]\s*", ".", re.sub(r"\s*[\[({]at[\])}]\s*", "@", s, flags=re.IGNORECASE), flags=re.IGNORECASE)
+
+
+def _is_address(s: str) -> bool:
+    try:
+        ipaddress.ip_address(s.replace("[.]", "."))
+        return True
+    except ValueError:
+        return False
+
+
 def _passes(kind: int, s: str) -> bool:
     digits = re.sub("[^0-9]", "", s)
     if kind == 0:
-        return bool(re.fullmatch(r"[^@]+@[A-Za-z0-9.-]*[A-Za-z0-9]", s))
+        return bool(re.fullmatch(r"[^@\s]+@[A-Za-z0-9.-]*[A-Za-z0-9]", _spelled_out(s)))
     if kind == 1:
-        return bool(_IP.fullmatch(s)) and _is_ip(s)
+        return _is_address(s)
     if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and not re.search("[A-Za-z@]", s)
+        return 12 <= len(digits) <= 19 and luhn(digits) and len(s) <= 2 * len(digits)
+    if kind == 3:
+        return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ()./-]*[0-9]", s))
+    return len(s) >= 8 and bool(digits) and bool(re.search("[A-Za-z]", s)) and not re.search(r"\s", s)
+
+
+#: What secrets are assigned with: it isn't part of them.
+_ASSIGNED = re.compile(r"""^[A-Za-z_.-]*[:=]["']?""")
 
 
 def added_spans(texts: list[str], crf: CRF, taken: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
@@ -314,7 +342,10 @@ def added_spans(texts: list[str], crf: CRF, taken: list[list[tuple[int, int, int
             start, end = starts[first], starts[t - 1] + len(words[t - 1])
             s = texts[i][start:end]
             left = len(s) - len(s.lstrip("<[\"'" + ("" if kind == 3 else "(")))
-            s = s[left:].rstrip(".,;:!?>])\"'")
+            if kind == 4:
+                m = _ASSIGNED.match(s, left)
+                left = m.end() if m else left
+            s = s[left:].rstrip(".,;:?>])\"'" + ("" if kind == 4 else "!"))
             span = (start + left, kind, start + left + len(s))
             if _passes(kind, s) and all(span[2] <= a or b <= span[0] for a, _, b in taken[i]):
                 out[i].append(span)
@@ -326,18 +357,18 @@ def written_spans(spans: list[tuple[int, int, int]]) -> str:
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and digest of the patterns' spans, and all spans, for every row."""
+    """Counts and digest of the patterns' spans, and all spans with how many are the field's, for every row."""
     crf = model()
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, crf, base)
-            out: dict = {f"n_{k}": [sum(x[1] == i for x in b) for b in base] for i, k in enumerate(KINDS)}
-            return out | {key: batch.column(0), "base_sha256": [hashlib.sha256(written_spans(b).encode()).hexdigest() for b in base], "spans": [written_spans(b + m) for b, m in zip(base, more)], "n_added": [len(m) for m in more]}
+            out: dict = {f"n_{k}": [sum(x[1] == i for x in b) for b in base] for i, k in enumerate(BASE_KINDS)}
+            return out | {key: batch.column(0), "base_sha256": [hashlib.sha256(written_spans(b).encode()).hexdigest() for b in base], "spans": [written_spans(b + m) for b, m in zip(base, more)], "n_added": [len(m) for m in more], "n_spans": [len(b) + len(m) for b, m in zip(base, more)]}
 
         return step
 
