@@ -1,10 +1,12 @@
 """Operator 10: mixing sources to target weights.
 
 Method: a source's words, document after document, are packed into blocks of
-``BLOCK`` words (the last may be shorter).  Every source gets a quota of
-blocks from its target.  For each output shard the source counts are drawn
-from a multinomial over the sources' remaining quotas, so that all shards
-follow the mix and the quotas are met exactly.  A source's slots are numbered
+``BLOCK`` words (the last may be shorter).  Every source gets a quota of blocks
+from its target.  A source's counts in the output shards are drawn from a
+multinomial with equal chances for all shards, so that each shard's counts of
+the sources follow the mix (given its size, they are a draw from the quotas) and
+the quotas are met exactly.  That is drawn in two steps, for groups of shards and
+within them, each from a generator of its own.  A source's slots are numbered
 over the shards; slot ``i`` takes the block ``perm(i mod n)`` in round ``i div
 n``, by a pseudorandom permutation of the source's ``n`` block numbers (a
 Feistel network with cycle walking, one key for each source and round).  Slots
@@ -15,12 +17,16 @@ buckets are hashes of the row: positions are running sums within buckets plus
 the sums of the buckets before, so a source with a third of all rows is spread
 over many tasks.  Everything depends on the rows and the seed alone.
 
-On the driver are one row per source and one per shard and source; shards are
-``MOST_SHARDS`` at most.
+Sources are a table (``plan``), numbered in blocks of their order; on the driver
+are sums over them.  The plan is sent to all tasks while it has ``SMALL`` rows
+at most, and meets the rows in a shuffle beyond that.  Words are counted once
+and their numbers written.
 
-Defined cases: NULL text: size 0; documents of size 0 take nothing; a NULL
-source is a source, the last in order; repeated rows are separate documents;
-an empty table gives an empty table; other columns are kept by ``mixed``.
+Defined cases: NULL text: size 0; documents of size 0 take nothing; very long
+texts are cut into as many blocks as they have; a NULL source is a source, the
+last in order; repeated rows are separate documents; rows of one source and
+bucket with equal ids are ordered by a hash of the row; an empty table gives an
+empty table; other columns are kept by ``mixed``, and their names don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colframe.llm.common import documents, let, to_arrow, words_of
+from colframe.llm.common import documents, let, to_arrow, words_of, written
+from colframe.operators.ordering import with_row_index
 
 #: Words in a block.
 BLOCK = 128
@@ -42,45 +49,21 @@ SEED = 7
 REPEATS = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
+#: Blocks of an output shard, on average.
 SHARD_BLOCKS = 4096
-MOST_SHARDS = 4096
 #: Sources whose plan (a row each) may be sent to all tasks; more meet the rows in a shuffle.
 SMALL = 10_000
 #: Rows of a source that one bucket holds on average.
 BUCKET_ROWS = 4000
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> list[float]:
-    """Each source's share of the sum of sizes by weight, none over ``repeats`` times its size."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    full: set[int] = set()
-    while True:
-        rest = sum(sizes) - sum(repeats * sizes[i] for i in full)
-        open_ = sum(x for i, x in enumerate(w) if i not in full)
-        out = [float(repeats * s) if i in full else rest * w[i] / open_ for i, s in enumerate(sizes)]
-        over = {i for i, s in enumerate(sizes) if i not in full and out[i] > repeats * s}
-        if not over:
-            return out
-        full |= over
+def generator(*key: object) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest("\0".join(map(repr, key)))))
 
 
-def quotas(sizes: list[int], wanted: list[float], block: int = BLOCK, repeats: int = REPEATS) -> list[tuple[int, int]]:
-    """Blocks of each source, and how many of them the mix takes."""
-    blocks = [-(-s // block) for s in sizes]
-    return [(n, min(repeats * n, round(t * n / s)) if s else 0) for n, s, t in zip(blocks, sizes, wanted)]
-
-
-def draws(quota: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source in each shard: multinomial draws that use up the quotas."""
-    left, rng = np.array(quota, np.int64), np.random.Generator(np.random.PCG64(seed))
-    out = np.zeros((shards, len(quota)), np.int64)
-    bounds = np.linspace(0, int(left.sum()), shards + 1).astype(np.int64)
-    for k in range(shards):
-        while (n := int(bounds[k + 1] - bounds[k] - out[k].sum())) > 0:
-            more = np.minimum(rng.multinomial(n, left / left.sum()), left)
-            out[k] += more
-            left -= more
-    return out
+def shares(count: int, parts: int, *key: object) -> np.ndarray:
+    """A multinomial draw of ``count`` over ``parts`` with equal chances."""
+    return generator(*key).multinomial(count, np.full(parts, 1 / parts))
 
 
 def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -109,25 +92,46 @@ class Mix:
 
     def __init__(self, df: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS):
         self.df, self.block, self.seed = df, block, seed
-        spark = self.spark = df.sparkSession
-        sized = df.groupBy("source").agg(F.sum(F.size(words_of(F.col("text")))).cast("long").alias("size"), F.count("*").alias("rows")).collect()
-        self.sources = sorted(((r["source"], r["size"], r["rows"]) for r in sized), key=lambda r: (r[0] is None, r[0] or ""))
-        sizes = [s for _, s, _ in self.sources]
-        self.targets = targets(sizes, weights, repeats)
-        self.blocks = quotas(sizes, self.targets, block, repeats)
-        rows = [(i, s, size, t, max(1, n // BUCKET_ROWS)) for i, ((s, size, n), t) in enumerate(zip(self.sources, self.targets))]
-        plan = spark.createDataFrame(rows, "sid int, _source string, source_size long, target double, buckets int")
-        self._plan = lambda *c: F.broadcast(plan.select(*c)) if len(rows) <= SMALL else plan.select(*c).hint("shuffle_merge")
+        self.spark = df.sparkSession
+        self.sizes = written(self._measured(), "sizes")
+        sources = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+        sources = with_row_index(sources, "source", "sid", nulls_largest=True)
+        weight = F.get(F.array(*(F.lit(w).cast("long") for w in weights)), (F.col("sid") % len(weights)).cast("int"))
+        sources = written(sources.withColumn("weight", weight), "sources")
+        full = F.lit(repeats) * F.col("source_size")
+        total = sources.agg(F.sum("source_size")).first()[0] or 0
+        over, share, before = F.lit(False), F.lit(0.0), -1
+        while True:  # what sources over their most leave is shared again by the others, until none is over
+            n, taken, open_ = sources.agg(F.count_if(over), F.sum(F.when(over, full).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
+            if n == before or not open_:
+                break
+            before, share = n, F.lit(total - taken) * F.col("weight") / F.lit(open_)
+            over = share > full
+        n = F.ceil(F.col("source_size") / block)
+        target = F.when(over, full.cast("double")).otherwise(share)
+        quota = F.when(F.col("source_size") > 0, F.least(repeats * n, F.rint(target * n / F.col("source_size")).cast("long"))).otherwise(0)
+        plan = sources.select("sid", "source", "source_size", target.alias("target"), F.greatest(F.lit(1), F.col("rows") / BUCKET_ROWS).cast("long").alias("buckets"), n.cast("long").alias("n"), quota.cast("long").alias("quota"))
+        self.plan = written(plan, "plan")
+        self.small = self.plan.count() <= SMALL
+
+    def _plan(self, *columns: str) -> DataFrame:
+        plan = self.plan.withColumnRenamed("source", "_source").select(*columns)
+        return F.broadcast(plan) if self.small else plan.hint("shuffle_merge")
+
+    def _measured(self, *carried: str) -> DataFrame:
+        df = self.df
+        size = F.size(words_of(F.col("text"))).cast("long").alias("size")
+        return df.select("doc_id", "source", size, F.xxhash64(*df.columns).alias("hash"), F.struct(*carried).alias("row") if carried else F.lit(None).cast("int").alias("row"))
 
     def positions(self, *carried: str) -> DataFrame:
         """Every row: ``sid``, ``start`` (its first word's position in the source), ``size``, ``at`` (unique), and the columns named."""
-        df = self.df
-        rows = df.select(F.col("doc_id"), F.col("source").alias("_src"), F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64(*df.columns).alias("hash"), F.struct(*carried).alias("row") if carried else F.lit(None).alias("row"))
+        rows = (self._measured(*carried) if carried else self.sizes).withColumnRenamed("source", "_src")
         rows = rows.join(self._plan("sid", "_source", "buckets"), F.col("_src").eqNullSafe(F.col("_source"))).withColumn("bucket", F.pmod("hash", "buckets")).drop("_src", "_source", "buckets")
         here = Window.partitionBy("sid", "bucket").orderBy("doc_id", "hash")
         local = rows.withColumns({"end": F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(here)})
         before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).select("sid", "bucket", "base")
+        small = self.sizes.withColumnRenamed("source", "_src").join(self._plan("sid", "_source", "buckets"), F.col("_src").eqNullSafe(F.col("_source"))).withColumn("bucket", F.pmod("hash", "buckets"))
+        sums = small.groupBy("sid", "bucket").agg(F.sum("size").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).select("sid", "bucket", "base")
         return local.join(sums.hint("shuffle_merge"), ["sid", "bucket"]).select("sid", F.struct("bucket", "nth").alias("at"), "doc_id", (F.col("base") + F.col("end") - F.col("size")).alias("start"), "size", "row")
 
     def segments(self) -> DataFrame:
@@ -141,28 +145,38 @@ class Mix:
     def slots(self) -> DataFrame:
         """The output: ``shard, place`` (within the source's part of the shard), ``sid, block, turn``."""
         spark, seed = self.spark, self.seed
-        total = sum(q for _, q in self.blocks)
-        shards = max(1, min(MOST_SHARDS, -(-total // SHARD_BLOCKS)))
-        counts = draws([q for _, q in self.blocks], shards, seed)
-        first = np.cumsum(counts, 0) - counts
-        rows = [(k, i, n, self.sources[i][0], int(first[k, i]), int(counts[k, i])) for k in range(shards) for i, (n, _) in enumerate(self.blocks) if counts[k, i]]
-        table = spark.createDataFrame(rows, "shard int, sid int, n long, source string, first long, count long")
-        schema = "shard int, place long, sid int, block long, turn int"
-        target = to_arrow(spark, schema)
+        total = self.plan.agg(F.sum("quota")).first()[0] or 0
+        shards = max(1, -(-total // SHARD_BLOCKS))
+        groups = int(np.ceil(np.sqrt(shards)))
+        each = -(-shards // groups)
+        shards = groups * each
+        grouped = "sid long, source string, n long, part int, first long, count long"
+        schema = "shard long, place long, sid long, block long, turn int"
+        of_group, target = to_arrow(spark, grouped), to_arrow(spark, schema)
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in (r for b in batches for r in b.to_pylist()):
+                counts = shares(row["quota"], groups, seed, row["source"])
+                first, part = np.cumsum(counts) - counts, np.flatnonzero(counts)
+                same = lambda v, f: pa.array([v] * len(part), f.type)
+                yield pa.RecordBatch.from_arrays([*(same(row[f.name], f) for f in list(of_group)[:3]), pa.array(part.astype(np.int32)), pa.array(first[part]), pa.array(counts[part])], schema=of_group)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in (r for b in batches for r in b.to_pylist()):
+                counts = shares(row["count"], each, seed, row["source"], row["part"])
+                ends = np.cumsum(counts)
                 for lo in range(0, row["count"], 65536):
-                    place = np.arange(lo, min(lo + 65536, row["count"]))
-                    slot = place + row["first"]
+                    at = np.arange(lo, min(lo + 65536, row["count"]))
+                    shard = np.searchsorted(ends, at, "right")
+                    slot = at + row["first"]
                     turn, block = slot // row["n"], slot % row["n"]
                     for t in np.unique(turn).tolist():
                         block[turn == t] = permuted(block[turn == t], row["n"], key_of(row["source"], t, seed))
-                    n = len(place)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["shard"], np.int32)), pa.array(place), pa.array(np.full(n, row["sid"], np.int32)), pa.array(block), pa.array(turn.astype(np.int32))], schema=target)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard + row["part"] * each), pa.array(at - (ends - counts)[shard]), pa.array(np.full(len(at), row["sid"])), pa.array(block), pa.array(turn.astype(np.int32))], schema=target)
 
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return table.repartition(parts, "shard", "sid").mapInArrow(run, schema)
+        drawn = self.plan.filter("quota > 0").select("sid", "source", "n", "quota").mapInArrow(split, grouped)
+        return drawn.repartition(parts, "sid", "part").mapInArrow(run, schema)
 
     def packed(self) -> DataFrame:
         """The shards' contents by reference: ``shard, sid, place, turn, doc_id, first, words``."""

@@ -273,11 +273,55 @@ def test_licence_cases(docs, none):
     assert len(set(licences.SENTENCES.values())) == len(licences.SENTENCES)
 
 
-def test_targets():
-    assert mixing.targets([]) == []
+def plain_targets(sizes, weights=mixing.WEIGHTS, repeats=mixing.REPEATS):
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    full = set()
+    while True:
+        rest = sum(sizes) - sum(repeats * sizes[i] for i in full)
+        open_ = sum(x for i, x in enumerate(w) if i not in full)
+        out = [float(repeats * s) if i in full else rest * w[i] / open_ for i, s in enumerate(sizes)]
+        over = {i for i, s in enumerate(sizes) if i not in full and out[i] > repeats * s}
+        if not over:
+            return out
+        full |= over
+
+
+def plain_mix(found, block):
+    """Target and words taken of each row, from rows ``(source, at, doc_id, size)``: only the order is the operator's."""
+    names = sorted({r[0] for r in found}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r[3] for r in found if r[0] == x) for x in names]
+    wanted, out = plain_targets(sizes), []
+    for source, size, target in zip(names, sizes, wanted):
+        rows = sorted(r for r in found if r[0] == source) if source is not None else sorted((r for r in found if r[0] is None), key=lambda r: r[1])
+        n = -(-size // block)
+        quota = min(3 * n, round(target * n / size)) if size else 0
+        times = Counter()
+        for t in range(3):
+            perm = mixing.permuted(mixing.np.arange(n), n, mixing.key_of(source, t)).tolist() if n else []
+            times.update(perm[: max(0, min(n, quota - t * n))])
+        at = 0
+        for r in rows:
+            out.append((r[2], r[3], size, target, sum(times[p // block] for p in range(at, at + r[3]))))
+            at += r[3]
+    return out
+
+
+def test_targets(spark):
     sizes = [1000, 10, 500, 0]
-    t = mixing.targets(sizes)
-    assert abs(sum(t) - 1510) < 1e-9 and all(x <= 3 * s + 1e-9 for x, s in zip(t, sizes)) and t[1] == 30
+    df = spark.createDataFrame([(i, "x " * n, f"s{i}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    t = [r.target for r in mixing.Mix(df).plan.orderBy("sid").collect()]
+    assert t == plain_targets(sizes) and abs(sum(t) - 1510) < 1e-9 and t[1] == 30
+
+
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_mixing_is_the_plain_mix(docs, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL", small)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    mix = mixing.Mix(docs, block=16)
+    source = dict(mix.plan.select("sid", "source").collect())
+    found = [(source[r.sid], tuple(r["at"]), r.doc_id, r["size"]) for r in mix.positions().collect()]
+    got = Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mix.taken().collect())
+    assert got == Counter((d, n, s, round(t, 6), k) for d, n, s, t, k in plain_mix(found, 16))
 
 
 def test_permutations():
@@ -285,10 +329,24 @@ def test_permutations():
         assert sorted(mixing.permuted(mixing.np.arange(n), n, 12345).tolist()) == list(range(n))
 
 
-def test_draws_meet_quotas():
-    q = [1000, 3, 0, 250]
-    d = mixing.draws(q, 20)
-    assert d.sum(0).tolist() == q and d.sum(1).max() - d.sum(1).min() <= 1
+def test_draws_meet_quotas_and_follow_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 40)
+    df = spark.createDataFrame([(i, "w " * 300, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    mix = mixing.Mix(df, block=16)
+    slots = mix.slots().collect()
+    quota = {r.sid: r.quota for r in mix.plan.collect()}
+    assert Counter(s.sid for s in slots) == quota
+    shards = Counter(s.shard for s in slots)
+    assert len(shards) > 100 and max(shards.values()) < 100
+    places = {(s.shard, s.sid): [] for s in slots}
+    for s in slots:
+        places[s.shard, s.sid].append(s.place)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    # a shard's counts are like a multinomial draw: chi-square of a whole table about its degrees of freedom
+    total = sum(quota.values())
+    chi = sum((len(places.get((k, i), [])) - n * q / total) ** 2 / (n * q / total) for k, n in shards.items() for i, q in quota.items())
+    free = (len(shards) - 1) * (len(quota) - 1)
+    assert abs(chi - free) < 5 * (2 * free) ** 0.5
 
 
 def test_mixing(docs, rows, none):
@@ -336,3 +394,15 @@ def test_sql(spark, name):
     order = sorted(df.columns)
     assert order == sorted(sql.columns)
     assert sorted(map(str, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(str, sql.select(", ".join(f'"{c}"' for c in order)).fetchall()))
+
+
+def test_scratch_goes(spark, docs):
+    from pathlib import Path as P
+
+    from colframe.llm import common
+
+    common.discard(spark)
+    df = common.written(docs.select("doc_id"), "some")
+    path = P(common._made[spark.sparkContext.applicationId][0].removeprefix("file://").removeprefix("file:"))
+    assert df.count() == docs.count() and path.exists()
+    assert common.discard(spark) == 1 and not path.exists() and common.discard(spark) == 0
