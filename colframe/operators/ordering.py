@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one block of a global order is meant to hold, and most blocks (then they hold more rows).
-BLOCK_ROWS, MOST_BLOCKS = 1_000_000, 1000
+BLOCK_ROWS, MOST_BLOCKS = 1_000_000, 20_000
 #: Sampled keys a block, from which its ends are taken.
 SAMPLED = 30
 #: Blocks whose number is found by a scan of all ends; by bisection beyond.
