@@ -1,9 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round replaces every node's edges by edges to the least node it knows of;
-a node's least neighbour comes from a partial aggregate joined back, so a hub
-with any number of neighbours is never gathered in one place.  Each round is
-written to the shared folder, and the loop ends when a round changes nothing.
+a node's least neighbour comes from a partial aggregate, which is written and
+joined back: a hub's edges meet one row of it, so a join that finds them too many
+for a task can split them.  Each round is written to the shared folder, and the
+loop ends when a round changes nothing.
 """
 
 from __future__ import annotations
@@ -14,20 +15,27 @@ from pyspark.sql import functions as F
 from colframe.llm.common import remove, scratch
 
 
-def _least(edges: DataFrame, from_: str, to: str) -> DataFrame:
+def _table(df: DataFrame, used: list[str]) -> DataFrame:
+    path = scratch(df.sparkSession, "stars")
+    df.write.parquet(path)
+    used.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _least(edges: DataFrame, used: list[str]) -> DataFrame:
     """Least of a node and its neighbours, by node."""
-    return edges.groupBy(F.col(from_).alias("u")).agg(F.least(F.min(to), F.first(from_)).alias("m"))
+    return _table(edges.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), used)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, used: list[str]) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined = both.join(_least(both, "a", "b"), both.a == F.col("u"))
+    joined = both.join(_least(both, used), both.a == F.col("u"))
     return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.filter("m < a").select("a", F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, used: list[str]) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    joined = down.join(_least(down, "a", "b"), down.a == F.col("u"))
+    joined = down.join(_least(down, used), down.a == F.col("u"))
     return joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
 
 
@@ -38,15 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.filter("a is not null and b is not null and a != b").select("a", "b")
-    seen, old = None, None
+    seen, old = None, []
     while True:
-        path = scratch(spark, "stars")
-        _small_star(_large_star(now)).filter("a != b").distinct().write.parquet(path)
-        now = spark.read.schema("a long, b long").parquet(path)
+        used: list[str] = []
+        large = _table(_large_star(now, used).distinct(), used)
+        now = _table(_small_star(large, used).filter("a != b").distinct(), used)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if old:
-            remove(spark, old)
+        for path in [*old, *used[:-1]]:
+            remove(spark, path)
         if mark == seen:
             break
-        seen, old = mark, path
+        seen, old = mark, used[-1:]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -12,14 +12,15 @@ the share of equal parts among those that are not empty in both.
 
 The lexicon has at most (mean distinct terms of a document) / ``LEAST_SHARE``
 terms, whatever the number of documents.  It is sent to all executors if it
-has ``LEXICON_LIMIT`` terms or fewer; beyond that, terms meet it in a join.
+takes ``LEXICON_BYTES`` there at most; beyond that, terms meet it in a join.
 
-For the next document in ascending id, ids are cut into blocks at quantiles,
-a block's rows are sorted in one task and read as a stream, and the first rows
-of the next block go along with each block.
+For the next document in ascending id, ids are cut into blocks at points of a
+sample, a block's rows are sorted in one task and read as a stream, and the
+first rows of the next block go along with each block.
 
 Defined cases: NULL text is an empty text; a text without lexicon terms is
-hashed by all its terms; equal texts have equal fingerprints; NULL ids come
+hashed by all its terms; very long texts are read whole; equal texts have equal
+fingerprints; NULL ids come
 first in order, equal ids are ordered by text; a lone document is its own next;
 an empty table gives an empty table; other columns are not read.
 """
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colframe.llm.common import documents, slices, to_arrow, written
+from colframe.operators.ordering import with_block
 
 #: The band: shares of the documents that have a term, least and most (idf = -ln share).
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
@@ -43,7 +45,10 @@ SUBSETS = ((8, 16), (24, 128), (24, 512), (8, 2048))
 PARTS = sum(n for n, _ in SUBSETS)
 PART_DIGITS, WHOLE_DIGITS = 4, 16
 EMPTY = "-" * PART_DIGITS
-LEXICON_LIMIT = 1_000_000
+#: Bytes of the lexicon that each Python worker may hold, and bytes of a term beside its letters (object, number, memberships).
+LEXICON_BYTES, TERM_BYTES = 160_000_000, 250
+#: Rows of an ordered block, at most.
+BLOCK_ROWS = 100_000
 #: Terms counted in a task before it hands the counts on.
 COUNTED = 150_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
@@ -118,17 +123,14 @@ def ordered_blocks(df: DataFrame, keys: str = "doc_id", text: str = "text") -> D
     """``(block, halo, doc_id, text)`` partitioned by block and sorted: each block's rows, then the row after it."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 4 * parts
-    cuts = sorted(set(df.approxQuantile(keys, [i / n for i in range(1, n)], 1 / (4 * n)))) if df.columns else []
-    bounds = F.array(*(F.lit(int(c)) for c in cuts)).cast("array<bigint>")
     key = F.coalesce(F.col(keys).cast("long"), F.lit(FIRST_ID))
-    block = F.size(F.filter(bounds, lambda b: b <= key))
     rows = df.select(F.col(keys).alias("doc_id"), F.col(text).alias("text"), key.alias("key"))
-    firsts = sorted((r[0], r[1]) for r in rows.groupBy(block.alias("block")).agg(F.min("key")).collect())
+    rows = with_block(rows, "key", max(1, min(BLOCK_ROWS, -(-df.count() // (4 * parts)))), "block")
+    firsts = sorted((r[0], r[1]) for r in rows.groupBy("block").agg(F.min("key")).collect())
     before = [firsts[i - 1][0] for i in range(len(firsts))]  # of the first: the last
     at = F.array_position(F.array(*(F.lit(f) for _, f in firsts)).cast("array<bigint>"), F.col("key")).cast("int")
     to = F.get(F.array(*map(F.lit, before)).cast("array<int>"), at - 1)
-    here = F.struct(block.alias("block"), F.lit(0).alias("halo"))
+    here = F.struct(F.col("block"), F.lit(0).alias("halo"))
     there = F.struct(to.alias("block"), F.lit(1).alias("halo"))
     rows = rows.withColumn("to", F.explode(F.when(at > 0, F.array(here, there)).otherwise(F.array(here))))
     return rows.select("to.block", "to.halo", "doc_id", "text", "key").repartition(parts, "block").sortWithinPartitions("block", "halo", "key", F.col("text").asc_nulls_first()).select("block", "halo", "doc_id", "text")
@@ -146,7 +148,8 @@ def compared(df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     lexicon = written(lexicon if lexicon is not None else lexicon_of(df), "lexicon")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     target = to_arrow(spark, schema)
-    if lexicon.count() > LEXICON_LIMIT:
+    terms, letters = lexicon.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if terms * TERM_BYTES + letters > LEXICON_BYTES:
         return _joined(df, lexicon)
     known = spark.sparkContext.broadcast({r["term"]: memberships(r["term"]) for r in lexicon.collect()})
 

@@ -12,13 +12,19 @@ checksum of that data.  Beside each file, ``.idx`` has for each record its
 byte offset and the ids before it in the file (two u64), so that readers can
 fetch records in any order.
 
-Document ids are cut into ranges at quantiles, and each range makes one file,
-so files in order of their number hold the documents in ascending id (NULL
-ids first, ties by text).  A task writes under a name of its own and renames at the end: a
-repeated or speculative task leaves one whole file.
-
-Defined cases: NULL or empty text: a record with the end id alone; rows with
-equal ids: one record each; an empty table: no files and no rows.
+Document ids are cut into ranges at points of a sample, and each range makes
+one file, so files in order of their number hold the documents in ascending id
+(NULL ids first, ties by text).  A task writes under a name of its own and
+renames at the end: a repeated or speculative task leaves one whole file.
+
+Files are written through ``pyarrow.fs``: the folder can be a path, or a URI
+that it knows (``file``, ``hdfs``, ``s3``, ``gs``); ``s3a`` and ``s3n`` are read
+as ``s3``.
+
+Defined cases: NULL or empty text: a record with the end id alone; very long
+texts are one record, as long as they are; rows with equal ids: one record each;
+an empty table: no files and no rows; other columns are not read, and their
+names don't matter.
 """
 
 from __future__ import annotations
@@ -38,11 +44,14 @@ from pyspark.sql import functions as F
 
 from colframe.llm.bpe import ChunkCache, chunks_of
 from colframe.llm.common import documents, scratch, slices, to_arrow
+from colframe.operators.ordering import with_block
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
 #: Records that one reading task fetches.
 READ_RECORDS = 4096
+#: Records that one file is meant to hold at most.
+FILE_RECORDS = 200_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -80,7 +89,10 @@ def opened(path: str):
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else os.path.abspath(path))
+    scheme, colon, rest = path.partition("://")
+    if colon:
+        return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+    return fs.FileSystem.from_uri(path if path.startswith(("/", "file:")) else os.path.abspath(path))
 
 
 class LibraryEncoder(ChunkCache):
@@ -146,7 +158,7 @@ def library_encoder(path: str) -> LibraryEncoder:
 def write_records(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes the files and returns their manifest: number, file, records, ids, first id's position.
 
-    The manifest has one row a file; there are as many files as twice the shuffle partitions at most.
+    The manifest has one row a file; a file has ``FILE_RECORDS`` records at most, about.
     """
     spark = df.sparkSession
     schema = "number int, file string, records long, ids long"
@@ -184,11 +196,9 @@ def write_records(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_i
             yield pa.RecordBatch.from_pylist(done, schema=target)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 2 * parts
-    cuts = sorted({int(c) for c in df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))})
-    id_ = F.col(key).cast("long")
-    block = F.when(id_.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= id_)))
-    ordered = df.select(block.alias("block"), id_.alias("id"), F.col(text).alias("text")).repartition(parts, "block").sortWithinPartitions("block", F.col("id").asc_nulls_first(), "text")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = with_block(rows, "id", max(1, min(FILE_RECORDS, -(-df.count() // (2 * parts)))), "block").select("block", "id", "text")
+    ordered = rows.repartition(parts, "block").sortWithinPartitions("block", F.col("id").asc_nulls_first(), "text")
     made = sorted(map(tuple, ordered.mapInArrow(run, schema).collect()))
     starts = np.cumsum([0, *(m[3] for m in made)]).tolist()
     return spark.createDataFrame([(*m, s) for m, s in zip(made, starts)], schema + ", start long")

@@ -16,7 +16,8 @@ spanning forest, never all pairs.
 
 Defined cases: NULL or blank texts have fingerprint zero and are linked like
 any other; texts with fewer words than a shingle hash the whole sequence;
-equal texts share a fingerprint and are one node; a NULL ``doc_id`` never
+equal texts share a fingerprint and are one node; texts of any length are
+hashed whole, with 8 bytes for each shingle; a NULL ``doc_id`` never
 becomes a component's id (NULL only if the component has no other); repeated
 rows stay; an empty table gives an empty table; other columns are not read.
 """
@@ -190,8 +191,10 @@ def linked(docs: DataFrame, distance: int = 3) -> DataFrame:
     """
     found = components(links(docs, distance))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(nodes.select("fp", "root").join(named, "root"), "fp")
+    nodes = written(nodes, "nodes")
+    named = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    # a table joined to a table: copies of one text, however many, can be split over tasks
+    return docs.join(written(nodes.select("fp", "root").join(named, "root"), "components"), "fp")
 
 
 def keep_one(df: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:

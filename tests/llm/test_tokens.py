@@ -11,7 +11,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from colframe.llm import bpe, records
+from colframe.llm import bpe, imatch, records
 from colframe.llm.common import scratch
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,15 @@ def test_records(spark, docs, none, rows, library):
     assert records.read_records(records.write_records(none, empty, PATH), empty).count() == 0
 
 
+def test_ids_at_the_ends_of_their_range(spark, library):
+    rows = [(i, "a b" * (i % 5)) for i in (-(1 << 63) + 1, -5, 0, 7, (1 << 62), (1 << 63) - 2, (1 << 63) - 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = scratch(spark, "records")
+    got = [(r.doc_id, r.n_tokens) for r in records.read_records(records.write_records(df, folder, PATH), folder).orderBy("start").collect()]
+    assert got == sorted((i, len(library.encode(t).ids) + 1) for i, t in rows)
+    assert imatch.compared(df).count() == len(rows)
+
+
 def test_damage_is_seen():
     good = records.frame(records.pack(7, np.arange(5), False))
     payload, end = records.unframe(good, 0)
