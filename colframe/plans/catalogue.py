@@ -325,6 +325,11 @@ add("json_again", lambda t: _again(t, _flat(t), I.to_json, lambda s, p: I.read_j
 add("orc_again", lambda t: _again(t, _flat(t), I.to_orc, I.read_orc), _FLAT)
 add("parquet_again", lambda t: _again(t, _flat(t), lambda d, p: I.to_parquet(d, p, partition_by=["event_type"]), I.read_parquet), _FLAT)
 add("lazy_totals", lambda t: t.spark.createDataFrame([(round(x.sum("value"), 4), round(x.mean("value"), 6), x.count()) for x in [L.LazyFrame.from_frames(_flat(t), _flat(t))]], "s double, m double, n long"), "SELECT round(2 * sum(value), 4) AS s, round(avg(value), 6) AS m, 2 * count(*) AS n FROM events")
+add(
+    "html_tables",
+    lambda t: I.tables_of_pages(t.nation.select("n_nationkey", F.concat(F.lit("<p>x</p><table><tr><th>k</th><th>name</th></tr><tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> "), "n_name", F.lit("</td></tr></table>")).alias("html")), "n_nationkey", "html").select("n_nationkey", "table", "row", F.array_join("cells", "|").alias("cells")),
+    "SELECT n_nationkey, 0 AS \"table\", 0 AS row, 'k|name' AS cells FROM nation UNION ALL SELECT n_nationkey, 0, 1, n_nationkey || '|' || n_name FROM nation",
+)
 add("read_html", lambda t: I.tables_of_pages(t.pages, "page_id", "html"))
 add("sample_exact", lambda t: R.sample(t.orders, "o_orderkey", n=100, seed=3).agg(F.count("*").alias("n")), "SELECT least(count(*), 100) AS n FROM orders")
 add("lazy_chain", lambda t: L.LazyFrame(t.events).filter(lambda d: d["value"] > 5).select(["event_id", "value"]).map(lambda d: d.withColumn("twice", d["value"] * 2)).collect(), "SELECT event_id, value, value * 2 AS twice FROM events WHERE value > 5")
