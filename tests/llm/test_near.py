@@ -4,21 +4,69 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from colframe.llm import imatch, lines, simhash, suffixes
 from colframe.llm.components import components
 
 
+DATA = Path("/root/testdata/sf0.001")
+
+
 def find(parent, x):
     while parent[x] != x:
         x = parent[x]
     return x
 
 
+def plain_imatch(rows):
+    """Fingerprints, edited texts and likenesses of rows ``(id, text)``, written from the description alone."""
+    marks = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
+    densities = [16] * 8 + [128] * 24 + [512] * 24 + [2048] * 8
+
+    def terms(text):
+        return {w.strip(marks) for w in (text or "").lower().split()} - {""}
+
+    def member(term, k):
+        digits = hashlib.sha256(f"{term}:{k // 16}".encode()).hexdigest()
+        return int(digits[4 * (k % 16) : 4 * (k % 16) + 4], 16) / 65536 < 1 / densities[k]
+
+    rows = sorted(rows)
+    counts = Counter(t for _, text in rows for t in terms(text))
+    band = {t for t, k in counts.items() if 0.0005 * len(rows) <= k <= 0.2 * len(rows)}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+
+    def prints(text):
+        own = sorted(terms(text) & band)
+        parts = [[t for t in own if member(t, k)] for k in range(64)]
+        return [(md5(" ".join(own)) if own else md5("\n" + " ".join(sorted(terms(text)))))[:16], *(md5(" ".join(p))[:4] if p else "----" for p in parts)]
+
+    def like(a, b):
+        seen = [(x, y) for x, y in zip(a, b) if (x, y) != ("----", "----")]
+        return sum(x == y for x, y in seen) / len(seen)
+
+    out = {}
+    for i, (doc, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        a, b, c = prints(text), prints(new), prints(after)
+        out[doc] = (len(text), hashlib.sha256(new.encode()).hexdigest(), "".join(a), "".join(b), round(like(a, b), 9), round(like(a, c), 9))
+    return out
+
+
+@pytest.mark.parametrize("bound", [imatch.LEXICON_BYTES, 0])
+def test_imatch_is_the_plain_result(unique_docs, unique, monkeypatch, bound):
+    monkeypatch.setattr(imatch, "LEXICON_BYTES", bound)
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.compared(unique_docs).collect()}
+    assert got == plain_imatch([r[:2] for r in unique])
+
+
 def test_imatch(spark, docs, unique_docs, unique, none):
     n = len(unique)
     counts = Counter()
@@ -91,7 +139,7 @@ def test_simhash(docs, none, rows):
     parent = {f: f for f in by_text}
     for a in by_text:
         for b in by_text:
-            if (a ^ b).bit_count() <= 3 and (a >= 0) == (b >= 0):
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3:
                 parent[find(parent, a)] = find(parent, b)
     ids = {}
     for f, d in by_text.items():
@@ -102,6 +150,51 @@ def test_simhash(docs, none, rows):
     assert simhash.linked(simhash.fingerprints(none)).count() == 0
 
 
+def plain_fingerprint(text):
+    """The majority of each bit over the shingles' hashes, as an unsigned number."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: bytes([m[0][0] + 32]), (text or "").encode()))
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_op3_is_the_plain_result(spark):
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    parent = {f: f for f in fps.values()}
+    for a in parent:
+        for b in parent:
+            if (a ^ b).bit_count() <= 3:
+                parent[find(parent, a)] = find(parent, b)
+    least = {}
+    for i, f in sorted(fps.items()):
+        least.setdefault(find(parent, f), i)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op3_simhash(spark, str(DATA)).collect()}
+    assert got == {i: (f"{f:016x}", least[find(parent, f)]) for i, f in fps.items()}
+    assert any(i != c for i, (_, c) in got.items())
+
+
+def test_texts_whose_fingerprints_differ_in_the_highest_bit(spark):
+    r = random.Random(2)
+    bit = 1 << 63
+    base = next(t for t in (" ".join(r.choice("abcdefgh") for _ in range(400)) for _ in iter(int, 1)) if abs(2 * sum(x >> 63 for x in (xxhash.xxh64(" ".join(t.split()[i : i + 3]), seed=42).intdigest() for i in range(398))) - 398) <= 4)
+    for _ in range(2000):
+        words = base.split()
+        words[r.randrange(400)] = r.choice("abcdefgh")
+        other = " ".join(words)
+        if (plain_fingerprint(base) ^ plain_fingerprint(other)) & bit and (plain_fingerprint(base) ^ plain_fingerprint(other)).bit_count() <= 3:
+            break
+    else:
+        raise AssertionError("no such text")
+    df = spark.createDataFrame([(4, base), (9, other)], "doc_id long, text string")
+    assert {x.component_id for x in simhash.linked(simhash.fingerprints(df)).collect()} == {4}
+
+
 def test_keep_one(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns

@@ -41,10 +41,12 @@ def test_long_word(library):
     assert own._heaped(list(part)) == own._scanned(list(part))
 
 
-def test_cache_turns(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 50)
-    cached = records.LibraryEncoder(PATH)
+def test_cache_turns(library):
+    cached = records.LibraryEncoder(PATH, 50)
     texts = [f"word{i} and more{i % 7}.\nLine{i}" for i in range(300)]
+    own = bpe.RankBPE(PATH)
+    own.size = 50
+    assert own.encode(" ".join(texts)).tolist() == library.encode(" ".join(texts)).ids and len(own) <= 50 and len(own.old) <= 50
     for i in range(0, 300, 20):
         for t, ids in zip(texts[i : i + 20], cached.encode_all(texts[i : i + 20])):
             assert ids.tolist() == library.encode(t).ids
