@@ -64,6 +64,8 @@ add("filter_cmp", lambda t: t.events.filter(F.col("value") > 5).select("event_id
 add("query_expr", lambda t: X.query(t.events, "value > 5 and user_id % 2 == 0 and not (event_id < 100)").select("event_id"), "SELECT event_id FROM events WHERE value > 5 AND user_id % 2 = 0 AND NOT (event_id < 100)")
 add("eval_expr", lambda t: X.evaluate(t.events, "where(value > 5, sqrt(abs(value)), value * 2 - 1)", "e").select("event_id", r6("e").alias("e")), "SELECT event_id, round(CASE WHEN value > 5 THEN sqrt(abs(value)) ELSE value * 2 - 1 END, 6) AS e FROM events")
 add("eval_power", lambda t: X.evaluate(t.events, "user_id ** 2 - value ** 0.5", "e").select("event_id", r6("e").alias("e")), "SELECT event_id, round(pow(user_id, 2) - pow(value, 0.5), 6) AS e FROM events")
+add("eval_signs", lambda t: X.evaluate(t.events, "-value + user_id * 2 - 3 / 4 + user_id // 7 + user_id % 7", "e").select("event_id", r6("e").alias("e")), "SELECT event_id, round(-value + user_id * 2 - 0.75 + user_id // 7 + user_id % 7, 6) AS e FROM events")
+add("query_not", lambda t: X.query(t.events, "not (value > 5) or not user_id < 50").select("event_id"), "SELECT event_id FROM events WHERE NOT (value > 5) OR NOT user_id < 50")
 add("comparisons", lambda t: X.query(t.events, "value >= 2 and value <= 8 and user_id != 7 and (user_id < 40 or user_id == 55) and -value < -1").select("event_id"), "SELECT event_id FROM events WHERE value >= 2 AND value <= 8 AND user_id <> 7 AND (user_id < 40 OR user_id = 55) AND -value < -1")
 add("assign_expr", lambda t: R.assign(t.customer, twice=lambda d: d["c_custkey"] * 2, one=1).select("c_custkey", "twice", "one"), "SELECT c_custkey, c_custkey * 2 AS twice, 1 AS one FROM customer")
 add("filter_like_cols", lambda t: R.filter_columns(t.part, like="key"), "SELECT p_partkey FROM part")
@@ -297,6 +299,13 @@ add("label_encode", lambda t: T.LabelEncoder().fit(t.events, "event_type").trans
 add("one_hot", lambda t: T.OneHotEncoder(["r_name"]).fit(t.region).transform(t.region.select("r_regionkey", "r_name")).select("r_regionkey", "r_name_ASIA"), "SELECT r_regionkey, CAST(r_name = 'ASIA' AS DOUBLE) AS r_name_ASIA FROM region")
 add("split_ordered", lambda t: T.train_test_split(t.orders, "o_orderkey", 0.2)[1].select("o_orderkey"), "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) WHERE r >= CAST(floor(n * 0.8) AS BIGINT)")
 add("kfold", lambda t: T.kfold(t.orders, "o_orderkey", 7).groupBy("fold").agg(F.count("*").alias("n")), "SELECT CAST(least((row_number - 1) // (n // 7), 6) AS INTEGER) AS fold, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, count(*) OVER () AS n FROM orders) GROUP BY 1")
+add("split_seeded", lambda t: t.spark.createDataFrame([tuple(x.count() for x in T.train_test_split(t.orders, "o_orderkey", 0.2, seed=5))], "train long, test long"), "SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS train, count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) AS test FROM orders")
+add("kfold_seeded", lambda t: T.kfold(t.orders, "o_orderkey", 7, seed=5).groupBy("fold").agg(F.count("*").alias("n")), ORACLES["kfold"])
+add(
+    "prep_pipeline",
+    lambda t: T.make_pipeline(("impute", T.SimpleImputer("mean", columns=["v"])), ("scale", T.MinMaxScaler(columns=["v"]))).fit(holed(t)).transform(holed(t)).select("event_id", r6("v").alias("v")),
+    f"WITH m AS (SELECT avg(v) AS m FROM {HOLED}), i AS (SELECT event_id, coalesce(v, m) AS v FROM {HOLED}, m) SELECT event_id, round((v - (SELECT min(v) FROM i)) / (SELECT max(v) - min(v) FROM i), 6) AS v FROM i",
+)
 add("metrics_regression", lambda t: T.regression_scores(t.events.withColumn("p", F.col("value") * 0.9), "value", "p").select(*(r6(c).alias(c) for c in ("mse", "mae", "r2"))), "WITH e AS (SELECT value AS t, value * 0.9 AS p FROM events) SELECT round(avg((t - p) ** 2), 6) AS mse, round(avg(abs(t - p)), 6) AS mae, round(1 - sum((t - p) ** 2) / sum((t - (SELECT avg(t) FROM e)) ** 2), 6) AS r2 FROM e")
 add("metrics_classification", lambda t: T.classification_scores(t.labels, "quality", "toxic").select(*(r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1"))), "WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS h, count(*) FILTER (WHERE toxic = 1) AS s, count(*) FILTER (WHERE quality = 1) AS i, avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS a FROM labels) SELECT round(a, 6) AS accuracy, round(coalesce(h / nullif(s, 0), 0), 6) AS precision, round(coalesce(h / nullif(i, 0), 0), 6) AS recall, round(coalesce(2 * h / nullif(s + i, 0), 0), 6) AS f1 FROM c")
 add("summary_stats", lambda t: T.summary_stats(t.events, ["value"]).select("count", "missing_pct", r6("skew").alias("skew"), r6("kurt").alias("kurt")), "SELECT count(value) AS count, 0.0::DOUBLE AS missing_pct, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurt FROM events")
@@ -321,6 +330,9 @@ _flat = lambda t: t.events.select("event_id", "event_type", "value")  # noqa: E7
 _KINDS_OF = "event_id long, event_type string, value double"
 add("csv_again", lambda t: _again(t, _flat(t), I.to_csv, lambda s, p: I.read_csv(s, p, _KINDS_OF)), _FLAT)
 add("csv_chunked", lambda t: _again(t, _flat(t), I.to_csv, lambda s, p: L.read_csv_chunked(s, p, schema=_KINDS_OF).filter("value > 5").collect()), _FLAT + " WHERE value > 5")
+add("pandas_again", lambda t: I.from_pandas(t.spark, I.to_pandas(t.nation)).select("n_name", F.col("n_nationkey").cast("int").alias("n_nationkey")), "SELECT n_name, n_nationkey FROM nation")
+add("dict_again", lambda t: t.spark.createDataFrame(I.to_dict(t.region, "records"), "r_regionkey int, r_name string"), "SELECT * FROM region")
+add("json_text_again", lambda t: I.read_json(t.spark, I.to_json(t.region)).select("r_name", F.col("r_regionkey").cast("int").alias("r_regionkey")), "SELECT r_name, r_regionkey FROM region")
 add("json_again", lambda t: _again(t, _flat(t), I.to_json, lambda s, p: I.read_json(s, p, True, _KINDS_OF)), _FLAT)
 add("orc_again", lambda t: _again(t, _flat(t), I.to_orc, I.read_orc), _FLAT)
 add("parquet_again", lambda t: _again(t, _flat(t), lambda d, p: I.to_parquet(d, p, partition_by=["event_type"]), I.read_parquet), _FLAT)
