@@ -209,3 +209,25 @@ def features_and_target(df: DataFrame, target: str, columns: Sequence[str] | Non
     names = list(columns or (c for c in df.columns if c != target))
     rows_ = df.select(*names, target).collect()
     return np.array([r[:-1] for r in rows_], dtype="float64").reshape(-1, len(names)), np.array([r[-1] for r in rows_])
+
+
+def to_torch(df: DataFrame, target: str | None = None, batch: int = 1024) -> Iterator[tuple]:
+    """``tensors`` as PyTorch's; needs torch."""
+    try:
+        import torch
+    except ImportError as e:
+        raise ImportError("to_torch needs torch") from e
+    return ((torch.from_numpy(x), None if y is None else torch.from_numpy(y)) for x, y in tensors(df, target, batch))
+
+
+def to_tensorflow(df: DataFrame, target: str | None = None, batch: int = 1024):
+    """``tensors`` as a TensorFlow dataset; needs tensorflow."""
+    try:
+        import tensorflow as tf
+    except ImportError as e:
+        raise ImportError("to_tensorflow needs tensorflow") from e
+    width = len(df.columns) - (target is not None)
+    x = tf.TensorSpec((None, width), tf.float32)
+    if target is None:
+        return tf.data.Dataset.from_generator(lambda: (x for x, _ in tensors(df, None, batch)), output_signature=x)
+    return tf.data.Dataset.from_generator(lambda: tensors(df, target, batch), output_signature=(x, tf.TensorSpec((None,), tf.float32)))

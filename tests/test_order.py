@@ -202,6 +202,19 @@ def test_functions_of_columns_and_batches(spark):
     assert x.tolist() == [[1.0], [5.0]] and y.tolist() == [2.0, 4.0]
 
 
+def test_absent_libraries_are_named(spark):
+    import importlib.util
+
+    for name, make in (("torch", files.to_torch), ("tensorflow", files.to_tensorflow)):
+        if importlib.util.find_spec(name) is None:
+            with pytest.raises(ImportError, match=name):
+                make(spark.range(3))
+
+
+def test_scratch_paths_differ(spark):
+    assert files.scratch(spark, "a") != files.scratch(spark, "a")
+
+
 def test_sqlite_ranges(spark, tmp_path):
     path = str(tmp_path / "x.db")
     database.write_sqlite(spark.range(100).select("id", (F.col("id") / 2).alias("h"), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("s")), path, "t")
