@@ -63,13 +63,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: smaller than a checkpoint."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: smaller than a checkpoint.  ``rows``: a bound of its rows."""
     path = scratch(df.sparkSession, name)
+    df = df if rows is None else gathered(df, rows)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a partition of an intermediate table holds at least, where a bound of its rows is known.
+LEAST_ROWS = 250_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than ``rows``, a bound of its rows, are worth: many empty ones would be as many files."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows // LEAST_ROWS + 1
+    return df.coalesce(parts) if parts < most else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

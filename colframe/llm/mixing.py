@@ -97,7 +97,8 @@ class Mix:
         sources = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
         sources = with_row_index(sources, "source", "sid", nulls_largest=True)
         weight = F.get(F.array(*(F.lit(w).cast("long") for w in weights)), (F.col("sid") % len(weights)).cast("int"))
-        sources = written(sources.withColumn("weight", weight), "sources")
+        count = self.sizes.count()
+        sources = written(sources.withColumn("weight", weight), "sources", count // 100)
         full = F.lit(repeats) * F.col("source_size")
         total = sources.agg(F.sum("source_size")).first()[0] or 0
         over, share, before = F.lit(False), F.lit(0.0), -1
@@ -111,7 +112,7 @@ class Mix:
         target = F.when(over, full.cast("double")).otherwise(share)
         quota = F.when(F.col("source_size") > 0, F.least(repeats * n, F.rint(target * n / F.col("source_size")).cast("long"))).otherwise(0)
         plan = sources.select("sid", "source", "source_size", target.alias("target"), F.greatest(F.lit(1), F.col("rows") / BUCKET_ROWS).cast("long").alias("buckets"), n.cast("long").alias("n"), quota.cast("long").alias("quota"))
-        self.plan = written(plan, "plan")
+        self.plan = written(plan, "plan", count // 100)
         self.small = self.plan.count() <= SMALL
 
     def _plan(self, *columns: str) -> DataFrame:

@@ -142,7 +142,7 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     of_word = counted.select("lang", "n", measures(F.array("word"), F.col("word"))["classes"].alias("classes"))
     sums = of_word.groupBy("lang").agg(F.sum("n").alias("total"), *(F.sum(F.col("n") * F.col("classes")[i]).alias(k) for i, k in enumerate(names)))
     sums = lengths.join(sums, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "chars", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("total", *names)))
-    sums = written(sums, "languages")
+    sums = written(sums, "languages", 0)
     counted = counted.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
     common = counted.join(_sent(sums.select("of", "total")), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") >= COMMON_SHARE * F.col("total")).select("lang", "word", "n")
     # of all: a word with that share of all words has it in some language
@@ -155,7 +155,7 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     none = F.array().cast("array<struct<word:string,share:double>>")
     found = sums.join(shares_of, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", "classes", F.coalesce("common", none).alias("common"))
     words, shares = F.transform("common", lambda x: x["word"]), F.transform("common", lambda x: x["share"])
-    return written(found.select("lang", "classes", words.alias("words"), F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))).alias("shares")), "references")
+    return written(found.select("lang", "classes", words.alias("words"), F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))).alias("shares")), "references", 0)
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:

@@ -189,12 +189,13 @@ def linked(docs: DataFrame, distance: int = 3) -> DataFrame:
 
     ``root`` names the component by a fingerprint, also where all its ids are NULL.
     """
-    found = components(links(docs, distance))
+    count = docs.count()
+    found = components(written(links(docs, distance), "edges", 2 * count))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = written(nodes, "nodes")
-    named = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    nodes = written(nodes, "nodes", count)
+    named = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "roots", count)
     # a table joined to a table: copies of one text, however many, can be split over tasks
-    return docs.join(written(nodes.select("fp", "root").join(named, "root"), "components"), "fp")
+    return docs.join(written(nodes.select("fp", "root").join(named, "root"), "components", count), "fp")
 
 
 def keep_one(df: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
