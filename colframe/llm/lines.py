@@ -124,25 +124,26 @@ def line_table(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return each.select("doc", "row", "line", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
-def _index(lines: DataFrame, least: int) -> DataFrame:
-    """``(key, h, entry, guest)`` of each different line with enough words, once; guests probe a shorter line's entry."""
-    hashed = lines.select("h", F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w)).alias("x")).filter(F.size("x") >= least)
+def _index(lines: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``(key, h, entry, guest)`` of each different line with enough words, once, and their number; guests probe a shorter line's entry."""
+    # words are cut out once a line, by a generator that isn't merged into the filter on it
+    cut = lines.select("h", F.explode(F.array(words_of(F.col("words")))).alias("x")).filter(F.size("x") >= least)
     keys = filed(F.col("x"), F.size("x"), THRESHOLD)
-    once = hashed.select("h", *(k.alias(f"k{i}") for i, (k, _) in enumerate(keys))).groupBy("h").agg(*(F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))))
+    once = cut.select("h", *(k.alias(f"k{i}") for i, (k, _) in enumerate(keys))).groupBy("h").agg(*(F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))))
     once = written(once, "index")
     each = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i).alias("entry"), F.lit(probe).alias("guest")) for i, (_, probe) in enumerate(keys)))
-    return once.select("h", F.explode(each).alias("e")).select("e.key", "h", "e.entry", "e.guest")
+    return once.select("h", F.explode(each).alias("e")).select("e.key", "h", "e.entry", "e.guest"), once.count() * len(keys)
 
 
-def _met(files: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` of lines ``h`` that meet in a file ``key``, and the rows of files with too many to be paired."""
+def _met(files: DataFrame, rows: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Of that many rows, pairs ``(a, b)`` of lines ``h`` that meet in a file ``key``, and the rows of files with too many to be paired."""
     keys = files.groupBy("key").agg(F.count("*").alias("n"), F.min("guest").alias("guests")).filter("n > 1 and not guests")
-    keys = written(keys.select("key", "n"), "keys")
+    keys = written(keys.select("key", "n"), "keys", rows // 2)
     few = files.join(keys.filter(F.col("n") <= dense), "key").groupBy("key").agg(F.collect_list(F.when(~F.col("guest"), F.col("h"))).alias("own"), F.collect_list("h").alias("every"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pairs = few.select(F.explode(F.flatten(F.transform("own", lambda a: F.transform("every", lambda b: pair(a, b))))).alias("x")).select("x.a", "x.b").filter("a != b")
-    many = written(files.join(keys.filter(F.col("n") > dense).select("key"), "key").drop("key"), "crowded")
-    return written(pairs.distinct(), "pairs"), many
+    many = written(files.join(keys.filter(F.col("n") > dense).select("key"), "key").drop("key"), "crowded", rows)
+    return written(pairs.distinct(), "pairs", rows), many
 
 
 def _only(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -151,17 +152,18 @@ def _only(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(found) if small else found.hint("shuffle_merge"), "h", "left_semi")
 
 
-def _told(lines: DataFrame, asked: DataFrame) -> DataFrame:
+def _told(lines: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
     """``(h, h2, at, words)`` of the lines with a hash in ``asked (h)``: their first place and their text."""
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "line")
-    return written(_only(lines, written(asked.distinct(), "asked")).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told")
+    asked = written(asked.distinct(), "asked", rows)
+    return written(_only(lines, asked).groupBy("h", "h2").agg(F.min(place).alias("at"), F.first("words").alias("words")), "told", 4 * asked.count())
 
 
 def _near_pairs(told: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(h, h2)`` of the later line of each pair that is near."""
     a, b = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h", "h2", "at", "words"))) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("h_a")).join(b, F.col("b") == F.col("h_b"))
-    # words are cut out once a pair, by a generator that isn't merged into the filter on it
+    # here too, once a pair
     words = F.explode(F.array(F.struct(words_of(F.col("words_a")).alias("x"), words_of(F.col("words_b")).alias("y"))))
     near = both.select("h_a", "h2_a", "at_a", "h_b", "h2_b", "at_b", words.alias("w")).filter(distance_within(F.col("w.x"), F.col("w.y"), THRESHOLD))
     later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("h_a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("h_b").alias("h"), F.col("h2_b").alias("h2")))
@@ -190,7 +192,7 @@ def _cut(opened: DataFrame, told: DataFrame) -> DataFrame:
     at = lambda d: (F.col("lo") + F.floor(n * d / parts)).cast("int")
     each = opened.select("h", "guest", "size", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda d: F.struct(at(d).alias("lo"), at(d + 1).alias("hi")))).alias("x"))
     each = each.select("h", "guest", "size", "x.lo", "x.hi").join(told.select("h", words_of(F.col("words")).alias("w")), "h")
-    return written(each.select(_outside(0).alias("key"), "h", "guest", "size", "lo", "hi"), "segments")
+    return written(each.select(_outside(0).alias("key"), "h", "guest", "size", "lo", "hi"), "segments", CUTS * opened.count())
 
 
 def _near_but_a_word(last: DataFrame, told: DataFrame) -> DataFrame:
@@ -200,24 +202,27 @@ def _near_but_a_word(last: DataFrame, told: DataFrame) -> DataFrame:
     mine = F.array(word("one", F.lit(None).cast("string")), word("own", F.get("w", F.col("lo"))))
     guests = F.array(word("guest", F.get("w", F.col("lo"))), word("guest", F.get("w", F.col("lo") + 1)))
     files = each.select("h", "h2", "at", _outside(1).alias("x1"), _outside(2).alias("x2"), F.explode(F.when(F.col("guest"), guests).otherwise(mine)).alias("f"))
-    files = written(files.select("h", "h2", "at", "x1", "x2", (F.col("f.role") == "one").alias("one"), F.coalesce("f.word", F.lit("")).alias("word"), "f.role"), "files")
+    rows = 2 * last.count()
+    files = written(files.select("h", "h2", "at", "x1", "x2", (F.col("f.role") == "one").alias("one"), F.coalesce("f.word", F.lit("")).alias("word"), "f.role"), "files", rows)
     file = ["x1", "x2", "one", "word"]
     least = files.groupBy(*file).agg(F.count("*").alias("n"), *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"{r}_at") for r in ("one", "own", "guest"))).filter("n > 1")
-    least = written(least.drop("n"), "least")
+    least = written(least.drop("n"), "least", rows)
     earlier = F.when(F.col("role") == "one", F.col("one_at")).when(F.col("role") == "own", F.col("guest_at")).otherwise(F.col("own_at"))
     return files.join(least, file).filter(earlier < F.col("at")).select("h", "h2")
 
 
 def near_lines(lines: DataFrame, least: int, dense: int) -> DataFrame:
     """``(h, h2)`` of the lines of ``line_table`` with an earlier near one."""
-    pairs, many = _met(_index(lines, least), dense)
-    told = _told(lines, pairs.select(F.explode(F.array("a", "b")).alias("h")).union(many.select("h")))
+    index, rows = _index(lines, least)
+    pairs, many = _met(index, rows, dense)
+    told = _told(lines, pairs.select(F.explode(F.array("a", "b")).alias("h")).union(many.select("h")), rows)
     near, open_ = _near_pairs(told, pairs), _opened(many, told)
     while not open_.isEmpty():
-        pairs, many = _met(_cut(open_, told), dense)
+        segments = _cut(open_, told)
+        pairs, many = _met(segments, segments.count(), dense)
         near = near.union(_near_pairs(told, pairs)).union(_near_but_a_word(many.filter("hi - lo = 1"), told))
-        open_ = written(many.filter("hi - lo > 1").distinct(), "open")
-    return written(near.distinct(), "near")
+        open_ = written(many.filter("hi - lo > 1").distinct(), "open", many.count())
+    return written(near.distinct(), "near", told.count())
 
 
 def decided(df: DataFrame, least_words: int = LEAST_WORDS, dense: int = DENSE, text: str = "text", key: str = "doc_id") -> DataFrame:
