@@ -50,6 +50,8 @@ END_ID = 0
 MASK_DELTA = 0xA282EAD8
 #: Records that one reading task fetches.
 READ_RECORDS = 4096
+#: Chunks in each generation of a writing worker's cache.
+LIBRARY_CACHE = 1_100_000
 #: Records that one file is meant to hold at most.
 FILE_RECORDS = 200_000
 
@@ -98,8 +100,8 @@ def opened(path: str):
 class LibraryEncoder(ChunkCache):
     """The tokenizers library behind a bounded cache of chunks; ids as bytes of ``kind``."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, size: int = LIBRARY_CACHE):
+        super().__init__(size)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
