@@ -20,9 +20,13 @@ Method, in three steps.
    prefix the common lengths ahead and behind are measured, and where they come
    to ``LENGTH`` bytes, these came earlier.  New contexts become the smallest
    level; levels of equal size merge, so there are logarithmically many.
-3. Prefixes with over ``DENSE`` different contexts (a passage that very many
-   documents share has such at its edges) are not held in one task: their strings
-   are grouped as they are in a distributed aggregate.
+3. Prefixes with over ``FEW`` different contexts (a passage that many documents
+   share has such at its edges) are not compared pair by pair.  All are measured
+   against the first of them, the leader.  Another earlier one can only reach
+   further than the leader if both part from it at the same place, and have the
+   same byte there; so contexts are filed by where, and with which byte, they part
+   from the leader behind and ahead, and each file has a leader again.  Over
+   ``DENSE`` of them this is done in distributed steps, else within a task.
 
 Hashes only say what to compare: all that is removed has been found equal byte by
 byte.  Before the first exchange, each batch of documents keeps the first suffix of
@@ -41,6 +45,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +64,12 @@ WIDTH = BEFORE + LENGTH
 SIDE = BEFORE // 2
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 15
-#: Different contexts of one prefix that a task compares itself.
-DENSE = 2000
+#: Different contexts of one prefix that are compared pair by pair, and that one task measures against leaders.
+FEW, DENSE = 64, 20_000
+#: Rows of crowded prefixes' suffixes that may be sent to all tasks instead of moving all texts to them.
+SENT = 2_000_000
 #: Contexts that a partition of the index holds on average, at most; pairs of them that are compared at once.
-HELD, PAIRS = 200_000, 100_000
+HELD, PAIRS = 200_000, 50_000
 #: One document in so many is looked through for frequent prefixes; fewest there of one, and most of them.
 SAMPLE, OFTEN, MOST_OFTEN = 64, 64, 10_000
 #: Rows of one prefix over which all are candidates.
@@ -304,6 +311,58 @@ def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _common(x[:, _AHEAD // 8 :], most[:, 1]), _common(x[:, : _AHEAD // 8], most[:, 0])
 
 
+class Reach:
+    """How far behind and ahead of each suffix strings go that came earlier: all these go over the suffix's first byte."""
+
+    def __init__(self, n: int):
+        self.behind, self.ahead = np.full(n, -1), np.full(n, -1)
+
+    def add(self, who: np.ndarray, behind: np.ndarray, ahead: np.ndarray) -> None:
+        """Common lengths with an earlier suffix; ``who`` may repeat."""
+        long = behind + ahead >= LENGTH
+        np.maximum.at(self.behind, who[long], behind[long])
+        np.maximum.at(self.ahead, who[long], ahead[long])
+
+    def whole(self, rows: np.ndarray, who: np.ndarray) -> None:
+        self.add(who, rows[who, -7].astype(np.int64) - 1, rows[who, -8].astype(np.int64) - 1)
+
+    def spans(self, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The spans of documents, put together where suffixes of a document stand together."""
+        who = np.flatnonzero(self.behind >= 0)
+        if len(who):
+            d, t = doc[who], tie[who]
+            number = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            found = [x for _, x in spans_by(number, at[who] - self.behind[who], at[who] + self.ahead[who])]
+            yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(t[first]), pa.array(found, pa.binary())], schema=schema)
+
+
+def settle(rows: np.ndarray) -> Reach:
+    """What came earlier of contexts of one file, in the order of their places, measured against leaders."""
+    reach = Reach(len(rows))
+    _, first, of = np.unique(_whole(rows), return_index=True, return_inverse=True)
+    reach.whole(rows, np.flatnonzero(first[of] != np.arange(len(rows))))
+    todo, seen = [np.sort(first)], set()
+    while todo:
+        some = todo.pop()
+        if len(some) <= FEW:
+            i, j = np.triu_indices(len(some), 1)
+            reach.add(some[j], *common(rows[some[i]], rows[some[j]]))
+            continue
+        rest = some[1:]
+        behind, ahead = common(rows[rest], rows[np.repeat(some[:1], len(rest))])
+        reach.add(rest, behind, ahead)
+        for n, of_, byte in ((behind, -7, _AHEAD), (ahead, -8, 0)):
+            open_ = np.flatnonzero(n < rows[rest, of_].astype(np.int64) - 1)
+            code = n[open_] * 256 + rows[rest[open_], byte + n[open_]]
+            order = np.argsort(code, kind="stable")
+            for part in np.split(rest[open_[order]], np.flatnonzero(np.diff(code[order])) + 1):
+                if len(part) > 1 and (name := part.tobytes()) not in seen:
+                    seen.add(name)
+                    todo.append(part)
+    return reach
+
+
 class Levels:
     """The index: levels of suffix arrays, each at least twice as long as the next."""
 
@@ -369,20 +428,15 @@ def _scan(schema: pa.Schema):
             order = np.argsort(whole, kind="stable")
             whole = whole[order]
             known = np.r_[False, whole[1:] == whole[:-1]] | index.has(whole)
-            found = [(order[known], rows[order[known], -7].astype(np.int64) - 1, rows[order[known], -8].astype(np.int64) - 1)]
+            reach = Reach(len(rows))
+            reach.whole(rows, order[known])
             new = order[~known]
             some = rows[new]
             for mine, theirs in index.meet(some):
-                found.append((new[mine], *common(some[mine], theirs)))
+                reach.add(new[mine], *common(some[mine], theirs))
             for i, j in _within(some):
-                found.append((np.maximum(new[i], new[j]), *common(some[i], some[j])))
-            who, behind, ahead = (np.concatenate(x) for x in zip(*found))
-            long = behind + ahead >= LENGTH
-            who, behind, ahead = who[long], behind[long], ahead[long]
-            spans = list(spans_by(who, at[who] - behind, at[who] + ahead))
-            if spans:
-                of = [s[0] for s in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tie[of]), pa.array([s[1] for s in spans], pa.binary())], schema=schema)
+                reach.add(np.maximum(new[i], new[j]), *common(some[i], some[j]))
+            yield from reach.spans(doc, tie, at, schema)
             if len(new):
                 index.add(some)
 
@@ -410,21 +464,97 @@ def _fetch(schema: pa.Schema):
     return run
 
 
-def _strings(schema: pa.Schema):
-    """A row for each string through each suffix, for prefixes with very many contexts."""
+#: Crowded contexts, and spans of what a leader has (``path`` NULL).
+_FILED = "path long, doc long, tie long, at long, before int, context binary, spans binary"
+
+
+def _against(schema: pa.Schema):
+    """Spans of contexts by their files' leaders, and the files of those that part from it in the same way.
+
+    From rows ``(path, doc, tie, at, before, context)`` and the leader's ``doc, tie, at, before, context``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out: list[tuple] = []
-                for _, doc, tie, at, before, c in zip(*(x.to_pylist() for x in batch.slice(lo, 256).columns)):
-                    out += [(c[i : i + LENGTH], doc, tie, at - before + i) for i in range(min(before, len(c) - LENGTH) + 1)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                path, doc, tie, at, before = (part.column(i).to_numpy() for i in range(5))
+                _, first, of = np.unique(path, return_index=True, return_inverse=True)
+                rows = rows_of(before.tolist(), part.column(5).to_pylist())
+                leads = part.take(pa.array(first))
+                lead = rows_of(leads.column(9).to_pylist(), leads.column(10).to_pylist())
+                behind, ahead = common(rows, lead[of])
+                own = np.ones(len(path), bool)
+                for mine, theirs in ((doc, 6), (tie, 7), (at, 8)):
+                    own &= mine == leads.column(theirs).to_numpy()[of]
+                long = np.flatnonzero(~own & (behind + ahead >= LENGTH))
+                found = list(spans_by(long, at[long] - behind[long], at[long] + ahead[long]))
+                if found:
+                    of_ = pa.array([f[0] for f in found])
+                    none = [pa.nulls(len(found), f.type) for f in schema]
+                    yield pa.RecordBatch.from_arrays([none[0], part.column(1).take(of_), part.column(2).take(of_), *none[3:6], pa.array([f[1] for f in found], pa.binary())], schema=schema)
+                whole = np.arange(len(path))
+                for salt, n, most, byte in ((1, behind, before, _AHEAD), (2, ahead, rows[:, -8].astype(np.int64) - 1, 0)):
+                    some = np.flatnonzero(~own & (n < most))
+                    code = (n[some].astype(np.uint64) << np.uint64(9)) + rows[whole[some], byte + n[some]] * np.uint64(2) + np.uint64(salt << 20)
+                    files = mixed(mixed(path[some].view(np.uint64)) ^ mixed(code)).view(np.int64)
+                    if len(some):
+                        at_ = pa.array(some)
+                        yield pa.RecordBatch.from_arrays([pa.array(files), *(part.column(i).take(at_) for i in range(1, 6)), pa.nulls(len(some), pa.binary())], schema=schema)
+
+    return run
+
+
+def _grouped(schema: pa.Schema):
+    """Spans of what came earlier in a file, from contexts in the order of file and place, ``DENSE`` in one at most."""
+
+    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, tie, at, rows = (np.concatenate(x) for x in list(zip(*held))[1:])
+        place = np.stack((doc, tie, at))
+        once = np.r_[True, (place[:, 1:] != place[:, :-1]).any(0)]
+        yield from settle(rows[once]).spans(doc[once], tie[once], at[once], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            path, doc, tie, at, before = (batch.column(i).to_numpy() for i in range(5))
+            rows = rows_of(before.tolist(), batch.column(5).to_pylist())
+            cuts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(path)]):
+                if held and held[-1][0] != path[a]:
+                    yield from done(held)
+                    held.clear()
+                held.append((path[a], doc[a:b], tie[a:b], at[a:b], rows[a:b]))
+        if held:
+            yield from done(held)
 
     return run
 
 
+def _crowded_spans(files: DataFrame, dense: int) -> DataFrame:
+    """``(doc, tie, spans)`` from a table of contexts ``(path, doc, tie, at, before, context)`` of crowded prefixes."""
+    spark = files.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["path", "doc", "tie", "at", "before", "context"]
+    spans_schema = "doc long, tie long, spans binary"
+    against, grouped = _against(to_arrow(spark, _FILED)), _grouped(to_arrow(spark, spans_schema))
+    out = []
+    while True:
+        rows = files.count()
+        counts = written(files.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "files", rows // 2)
+        few = files.join(counts.filter(F.col("n") <= dense).select("path"), "path").select(*columns)
+        out.append(few.repartition(max(parts, rows // HELD), "path").sortWithinPartitions("path", "doc", "tie", "at").mapInArrow(grouped, spans_schema))
+        many = counts.filter(F.col("n") > dense).select("path")
+        if many.isEmpty():
+            return reduce(DataFrame.union, out)
+        state = written(files.join(many, "path").select(*columns), "crowded-contexts", rows)
+        leaders = written(state.groupBy("path").agg(F.min(F.struct(*columns[1:])).alias("lead")), "leaders", rows // dense)
+        step = state.join(leaders, "path").select(*columns, *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in columns[1:]))
+        step = written(step.mapInArrow(against, _FILED), "parted", 2 * rows)
+        out.append(step.filter("path is null").select("doc", "tie", "spans"))
+        files = step.filter("path is not null").select(*columns)
+
+
 def _remove(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,7 +585,7 @@ def frequent_prefixes(docs: DataFrame) -> np.ndarray:
     return np.array([r.key for r in top], np.int64).view(np.uint64)
 
 
-def removed(df: DataFrame, key: str = "doc_id", text: str = "text", dense: int = DENSE, kept: bool = True) -> DataFrame:
+def removed(df: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW, dense: int = DENSE, kept: bool = True) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; ``kept``: the remaining bytes, on demand."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -467,26 +597,24 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", dense: int =
     samples = samples.repartition(parts, spread).sortWithinPartitions("key")
     found = written(samples.mapInArrow(_candidates(arrow(_FOUND)), _FOUND), "candidates")
     asked = found.filter("key is not null").select("doc", "tie", "key", "context", "at")
-    crowded = asked.groupBy("key", "context").agg(F.first("at").alias("x")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select("key")
-    crowded = written(crowded, "crowded")
+    crowded = asked.groupBy("key", "context").agg(F.first("at").alias("x")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("key")
+    crowded = written(crowded, "crowded", asked.count() // few)
 
-    def contexts(asked: DataFrame) -> DataFrame:
+    def contexts(asked: DataFrame, sent: bool = False) -> DataFrame:
         by_doc = asked.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        by_doc = F.broadcast(by_doc) if sent else by_doc
         return docs.join(by_doc, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_fetch(arrow(_CONTEXTS)), _CONTEXTS)
 
     spans_schema = "doc long, tie long, spans binary"
-    some = crowded.isEmpty()
+    none = crowded.isEmpty()
     index_parts = max(parts, -(-asked.count() // HELD))
-    indexed = contexts(asked if some else asked.join(crowded, "key", "left_anti")).repartition(index_parts, "key").select("doc", "tie", "at", "before", "context")
+    indexed = contexts(asked if none else asked.join(crowded, "key", "left_anti")).repartition(index_parts, "key").select("doc", "tie", "at", "before", "context")
     indexed = indexed.sortWithinPartitions("doc", "tie", "at").mapInArrow(_scan(arrow(spans_schema)), spans_schema)
     spans = found.filter("key is null").select("doc", "tie", "spans").union(indexed)
-    if not some:
-        schema = "string binary, doc long, tie long, start long"
-        each = contexts(asked.join(crowded, "key", "left_semi")).mapInArrow(_strings(arrow(schema)), schema)
-        least = each.groupBy("string").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
-        again = each.join(least, "string").filter(F.struct("doc", "tie", "start") > F.col("first"))
-        pair = lambda x: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), 15 - 2 * i, 2) for i in range(8))))
-        spans = spans.union(again.select("doc", "tie", F.concat(pair(F.col("start")), pair(F.col("start") + LENGTH)).alias("spans")))
+    if not none:
+        crowd = written(asked.join(crowded, "key", "left_semi"), "crowd")
+        files = written(contexts(crowd, crowd.count() <= SENT).withColumnRenamed("key", "path"), "crowded-contexts")
+        spans = spans.union(_crowded_spans(files, dense))
     by_doc = spans.groupBy("doc", "tie").agg(F.collect_list("spans").alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     return docs.join(by_doc, ["doc", "tie"], "left").select("doc", "text", "spans").mapInArrow(_remove(arrow(out)), out)

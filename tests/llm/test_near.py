@@ -349,9 +349,9 @@ def plain_removed(rows, length=suffixes.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("dense", [suffixes.DENSE, 2])
-def test_removed(spark, unique_docs, unique, dense):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removed(unique_docs, dense=dense).collect()}
+@pytest.mark.parametrize(("few", "dense"), [(suffixes.FEW, suffixes.DENSE), (2, 2), (1, 50)])
+def test_removed(spark, unique_docs, unique, few, dense):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removed(unique_docs, few=few, dense=dense).collect()}
     assert got == plain_removed([r[:2] for r in unique])
 
 
@@ -440,6 +440,47 @@ def test_hashes_that_collide_remove_nothing(spark, monkeypatch, tmp_path, bits):
         assert gone == want[i][1]
 
 
+def test_leaders_find_what_pairs_do(monkeypatch):
+    """Contexts that part from each other at many places, some with few letters, against all pairs."""
+    monkeypatch.setattr(suffixes, "FEW", 3)
+    r = random.Random(6)
+    for letters in (b"ab", b"abcdefgh"):
+        for _ in range(30):
+            noise = lambda n: bytes(r.choice(letters) for _ in range(n))
+            trunk = [noise(68), noise(100)]
+            before, contexts = [], []
+            for _ in range(r.randint(4, 60)):
+                b, a = bytearray(r.choice((trunk[0], contexts[-1][: before[-1]] if contexts else trunk[0]))), bytearray(trunk[1])
+                for part in (b, a):
+                    for _ in range(r.randint(0, 2)):
+                        if part:
+                            part[r.randrange(len(part))] = r.choice(letters)
+                b = b[r.choice((0, 0, r.randint(0, len(b)))) :]
+                before.append(len(b))
+                contexts.append(bytes(b + a)[: len(b) + r.choice((100, 100, r.randint(32, 100)))])
+            rows = suffixes.rows_of(before, contexts)
+            want = suffixes.Reach(len(rows))
+            i, j = np.triu_indices(len(rows), 1)
+            want.add(j, *suffixes.common(rows[i], rows[j]))
+            got = suffixes.settle(rows)
+            assert (got.behind == want.behind).all() and (got.ahead == want.ahead).all()
+
+
+@pytest.mark.parametrize(("few", "dense"), [(1, 1), (3, 3), (1, 1000)])
+@pytest.mark.parametrize("length", [100, 150, 400])
+def test_crowded_prefixes(spark, monkeypatch, few, dense, length):
+    """Passages in surroundings that some share for a while, behind and ahead; shorter and longer than contexts."""
+    monkeypatch.setattr(suffixes, "SENT", 0 if dense == 3 else suffixes.SENT)
+    r = random.Random(length)
+    noise = lambda n: "".join(r.choice("abcde é") for _ in range(n))
+    passage, before, after = noise(length), [noise(60) for _ in range(3)], [noise(60) for _ in range(3)]
+    cut = lambda x: x[: r.choice((0, 1, 7, 30, 60))]
+    rows = [(i, noise(r.randint(0, 90)) + cut(r.choice(before)[::-1])[::-1] + passage + cut(r.choice(after)) + noise(r.randint(0, 90))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.removed(df, few=few, dense=dense).collect()}
+    assert got == plain_removed(rows)
+
+
 def test_frequent_prefixes_are_spread(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SAMPLE", 1)
     monkeypatch.setattr(suffixes, "OFTEN", 3)
@@ -449,6 +490,6 @@ def test_frequent_prefixes_are_spread(spark, monkeypatch):
     passage = noise(300)
     rows = [(i, noise(r.randint(0, 150)) + passage + noise(r.randint(0, 150))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for dense in (suffixes.DENSE, 5):
-        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.removed(df, dense=dense).collect()}
+    for few in (suffixes.FEW, 5, 1):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.removed(df, few=few, dense=8).collect()}
         assert got == plain_removed(rows)
