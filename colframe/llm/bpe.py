@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,7 @@ from colframe.llm.common import documents, map_columns
 #: Longest word, in bytes, that the scanned rank array takes.
 LONG_WORD = 192
 #: Chunks in each of the two generations of a worker's cache (about 170 bytes each).
-CACHE = 200_000
+CACHE = 500_000
 NO_RANK = 1 << 60
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -125,6 +126,7 @@ class RankBPE(ChunkCache):
         self.added = added
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.cut_at_spaces = not any(" " in x for x in added)
+        self.plain_words = not any(x.strip().isalpha() for x in added)
         self.find = regex.compile(PATTERN).findall
 
     def word(self, data: bytes) -> list[int]:
@@ -180,8 +182,11 @@ class RankBPE(ChunkCache):
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
-            parts = self.parts(key)
-            found = b"".join(map(self.__getitem__, parts)) if parts else np.array(self.chunk(self.string(key)), "<u4").tobytes()
+            if self.plain_words and key.isalpha() and max(key) < "\u0250":  # one word to the pre-tokenizer
+                found = array("I", self.word((" " + key).encode())).tobytes()
+            else:
+                parts = self.parts(key)
+                found = b"".join(map(self.__getitem__, parts)) if parts else array("I", self.chunk(self.string(key))).tobytes()
         if len(key) <= 64:
             self.turn()
             self[key] = found
