@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import documents, to_arrow, written
+from colframe.llm.common import documents, slices, to_arrow, written
 
 LENGTH = 100
 PREFIX = 32
@@ -65,11 +65,11 @@ SIDE = BEFORE // 2
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 15
 #: Different contexts of one prefix that are compared pair by pair, and that one task measures against leaders.
-FEW, DENSE = 64, 20_000
+FEW, DENSE = 64, 100_000
 #: Rows of crowded prefixes' suffixes that may be sent to all tasks instead of moving all texts to them.
 SENT = 2_000_000
-#: Contexts that a partition of the index holds on average, at most; pairs of them that are compared at once.
-HELD, PAIRS = 200_000, 50_000
+#: Contexts that a partition of the index holds on average, at most, and those of a batch; pairs that are compared at once.
+HELD, BATCH, PAIRS = 25_000, 2048, 50_000
 #: One document in so many is looked through for frequent prefixes; fewest there of one, and most of them.
 SAMPLE, OFTEN, MOST_OFTEN = 64, 64, 10_000
 #: Rows of one prefix over which all are candidates.
@@ -350,7 +350,8 @@ def settle(rows: np.ndarray) -> Reach:
             reach.add(some[j], *common(rows[some[i]], rows[some[j]]))
             continue
         rest = some[1:]
-        behind, ahead = common(rows[rest], rows[np.repeat(some[:1], len(rest))])
+        parts = [common(rows[x], rows[np.repeat(some[:1], len(x))]) for x in np.split(rest, range(PAIRS, len(rest), PAIRS))]
+        behind, ahead = (np.concatenate(x) for x in zip(*parts))
         reach.add(rest, behind, ahead)
         for n, of_, byte in ((behind, -7, _AHEAD), (ahead, -8, 0)):
             open_ = np.flatnonzero(n < rows[rest, of_].astype(np.int64) - 1)
@@ -417,7 +418,7 @@ def _scan(schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, last = Levels(), None
-        for batch in batches:
+        for batch in slices(batches, BATCH):
             doc, tie, at, before = (batch.column(i).to_numpy() for i in range(4))
             rows = rows_of(before.tolist(), batch.column(4).to_pylist())
             place = np.stack((doc, tie, at))
