@@ -1,7 +1,15 @@
 """Near copies by word shingles: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-Method: an exact set-similarity join by prefixes.  A text is the set of the
-XXH64 of its shingles of ``SHINGLE`` lower-cased words.  All sets are sorted by
+Method: SimHash, then an exact join for what it doesn't reach.  A text is the
+set of the XXH64 of its shingles of ``SHINGLE`` lower-cased words, and has
+operator 3's fingerprint, of shingles of ``PRINTED`` words.  Operator 3 links
+fingerprints that differ in at most ``APART`` bits (pigeonhole blocks, popcount,
+spanning forests); each link is checked on the two whole sets, and the checked
+ones make the first components.
+
+64 bits can't reach every similar pair, so the rest is found by an exact
+set-similarity join by prefixes, in which pairs that SimHash has put in one
+component are done and aren't compared again.  All sets are sorted by
 one global order; two sets of similarity ``s`` share at least ``s`` of the
 larger one, so the first ``n - ceil(s n) + 1`` shingles of each have one in
 common.  Those prefixes are filed by shingle, sets that meet in a file and
@@ -35,11 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colframe.llm import simhash
 from colframe.llm.common import fresh, map_columns, slices, to_arrow, written
 from colframe.llm.components import components
 
 SEED = 42
 SHINGLE, PERCENT = 5, 80
+#: Words of a fingerprint's shingles, and bits in which linked fingerprints differ at most.
+PRINTED, APART = 2, 3
 #: Sets of one file of which all pairs are candidates, and the next ones that each is paired with in longer files.
 LONG, NEXT = 6, 1
 #: One set in so many is counted to find frequent shingles; fewest sets there of a frequent one, and most frequent ones.
@@ -111,7 +122,7 @@ def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``(doc_id, row1, row2, node, n, prefix, sketch)`` for every row ``(doc_id, row1, row2, text)``; the prefix as bytes."""
+    """``(doc_id, row1, row2, node, fp, n, prefix, sketch)`` for every row ``(doc_id, row1, row2, text)``; the prefix as bytes."""
 
     def prefix(x: np.ndarray) -> bytes:
         n = len(x)
@@ -122,14 +133,16 @@ def _prefixes(rows: DataFrame, shingle: int, percent: int, frequent: np.ndarray)
 
     def make():
         def step(batch):
-            sets = [shingles(t.as_py(), shingle) for t in batch.column(3)]
+            texts = batch.column(3).to_pylist()
+            sets = [shingles(t, shingle) for t in texts]
             known = {k: batch.column(i) for i, k in enumerate(("doc_id", "row1", "row2"))}
+            known |= {"fp": [simhash.fingerprint(t, PRINTED) for t in texts]}
             return known | {"node": [_named(x) for x in sets], "n": [len(x) for x in sets], "prefix": [prefix(x) for x in sets], "sketch": [sketch(x) for x in sets]}
 
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_columns(rows.select("doc_id", "row1", "row2", "text"), f"doc_id {kind}, row1 long, row2 long, node long, n int, prefix binary, sketch binary", make)
+    return map_columns(rows.select("doc_id", "row1", "row2", "text"), f"doc_id {kind}, row1 long, row2 long, node long, fp long, n int, prefix binary, sketch binary", make)
 
 
 def _entries(docs: DataFrame) -> DataFrame:
@@ -264,14 +277,37 @@ def _similar(pairs: DataFrame, whole: Callable[[DataFrame], DataFrame], percent:
     return _mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), "a long, b long", of)
 
 
+def _near(docs: DataFrame, count: int) -> DataFrame:
+    """Candidates ``(a, b)`` of SimHash among ``docs (node, fp)``: sets of one fingerprint, and of linked ones.
+
+    A fingerprint stands for its least set, to which its others are paired.
+    """
+    prints = written(docs.select("node", "fp").distinct(), "fingerprints", count)
+    least = written(prints.groupBy("fp").agg(F.min("node").alias("least")), "least", count)
+    met = written(simhash.links(prints, APART), "linked", 2 * count)
+    one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in "ab")
+    pairs = met.join(one, "a").join(two, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    pairs = pairs.union(prints.join(least, "fp").select("least", "node")).filter("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that aren't in one component yet."""
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab")
+    return pairs.distinct().join(one, "a", "left").join(two, "b", "left").filter("_a is null or _b is null or _a != _b").select("a", "b")
+
+
 def links(docs: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of sets that similar.
 
-    ``docs (node, n, prefix, sketch)`` may repeat sets; ``whole`` gives ``(node, hashes)`` for a table of nodes.
+    ``docs (node, fp, n, prefix, sketch)`` may repeat sets; ``whole`` gives ``(node, hashes)`` for a table of nodes.
     """
+    count = docs.count()
+    near = written(_similar(_near(docs, count), whole, percent, 3 * count), "near")
     found = written(_met(_entries(docs), percent), "met")
     rows = found.count()
-    edges = written(_similar(found.filter("key is null").select("a", "b"), whole, percent, rows), "edges")
+    rest = _apart(found.filter("key is null").select("a", "b"), components(near))
+    edges = written(near.union(_similar(rest, whole, percent, rows)), "edges")
     files = found.filter("key is not null").select("key", F.col("b").alias("node"), "n", "at")
     if files.isEmpty():
         return edges

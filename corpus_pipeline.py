@@ -6,7 +6,8 @@ the last return the columns of ``documents``.
 
 1. quality rules: documents that the rules reject go
 2. line dedup: repeated and near-repeated lines go out of the texts, and documents without another line go
-3. near-dedup: one document of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more) stays
+3. SimHash near-dedup: one document of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more)
+   stays; SimHash links first, each link is checked on whole shingle sets, and an exact join finds what 64 bits can't reach
 4. mixing: sources are drawn to their target weights; a document has a row for each round that takes words of it
 5. BPE: ids of each row's text, with a check that they decode to it
 """

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colframe.llm import resemblance
+from colframe.llm import resemblance, simhash
 
 
 def grams(text):
@@ -92,3 +92,28 @@ def test_keep_one_keeps_columns_and_ties(docs, none):
     assert kept.columns == docs.columns
     assert kept.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).count() <= 1
     assert resemblance.keep_one(none).count() == 0
+
+
+def test_stage_links_by_simhash_and_checks_the_links(spark, monkeypatch):
+    """SimHash alone, without the join for the rest, drops a copy within its bits, and nothing that is unlike."""
+    base = ["b%d" % i for i in range(400)]
+    texts = [base, [*base[:-1], "z"], ["x"] * 60 + ["p", "q", "r", "s"], ["x"] * 60 + ["t", "u", "v", "w"], ["x"] * 61 + base[:9]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    prints = [simhash.fingerprint(t, resemblance.PRINTED) for _, t in rows]
+    assert prints[2] == prints[3] == prints[4] and (prints[0] ^ prints[1]).bit_count() <= resemblance.APART
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = resemblance._met
+    monkeypatch.setattr(resemblance, "_met", lambda entries, percent: met(entries, percent).limit(0))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {0, 2, 3, 4} == plain(rows)
+
+
+def test_pairs_that_simhash_has_linked_are_not_compared_again(spark, monkeypatch):
+    base = ["b%d" % i for i in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "z"])), (2, " ".join(w + "s" if i % 50 == 7 else w for i, w in enumerate(base)))]
+    prints = [simhash.fingerprint(t, resemblance.PRINTED) for _, t in rows]
+    assert [(prints[0] ^ p).bit_count() <= resemblance.APART for p in prints] == [True, True, False]
+    similar, compared = resemblance._similar, []
+    monkeypatch.setattr(resemblance, "_similar", lambda pairs, *more: (compared.append(pairs.distinct().count()), similar(pairs, *more))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in resemblance.keep_one(df).collect()} == {0} == plain(rows)
+    assert compared == [1, 2]
