@@ -52,6 +52,8 @@ MASK_DELTA = 0xA282EAD8
 READ_RECORDS = 4096
 #: Chunks in each generation of a writing worker's cache.
 LIBRARY_CACHE = 1_100_000
+#: New words that the library gets as one string.
+JOINED = 64
 #: Records that one file is meant to hold at most.
 FILE_RECORDS = 200_000
 
@@ -110,11 +112,19 @@ class LibraryEncoder(ChunkCache):
         self.library.no_padding()
         self.kind = "<u4" if self.library.get_vocab_size() > 0x10000 else "<u2"
         self.new: set[str] = set()
+        self.words: set[str] = set()
+        sizes = np.zeros(1 + max(self.library.get_vocab(with_added_tokens=True).values(), default=0), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            sizes[i] = len(token)  # a character a byte
+        self.sizes = sizes
 
     def __missing__(self, key: str) -> bytes | None:
         """The ids, or None and the chunk is asked for."""
         found = self.old.get(key)
         if found is None:
+            if key.isalpha():
+                self.words.add(key)
+                return None
             if not (parts := self.parts(key)):
                 self.new.add(key)
                 return None
@@ -125,6 +135,22 @@ class LibraryEncoder(ChunkCache):
         self[key] = found
         return found
 
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        kind = "I" if self.kind == "<u4" else "H"
+        return [array(kind, e.ids).tobytes() for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of each space-led word, from strings of many; alone where tokens don't end where words do."""
+        strings = [" " + w for w in words]
+        data = b"".join(self._ids(["".join(strings[i : i + JOINED]) for i in range(0, len(strings), JOINED)]))
+        ends = np.cumsum(self.sizes[np.frombuffer(data, self.kind)])
+        wanted = np.cumsum(np.fromiter((len(x.encode()) for x in strings), np.int64, len(strings)))
+        at = np.searchsorted(ends, wanted)
+        if len(ends) == 0 or ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+            return self._ids(strings)
+        at = ((at + 1) * np.dtype(self.kind).itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *at], at)]
+
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; chunks not met before go to the library together."""
         self.turn()
@@ -134,11 +160,13 @@ class LibraryEncoder(ChunkCache):
             rest.insert(0, "\0" + first)
             keys.append(rest)
             ids.append(list(map(self.__getitem__, rest)))
-        new = list(self.new)
+        new, words = list(self.new), list(self.words)
         self.new.clear()
-        made = self.library.encode_batch_fast(list(map(self.string, new)), add_special_tokens=False)
-        kind = "I" if self.kind == "<u4" else "H"
-        self.update(zip(new, [array(kind, e.ids).tobytes() for e in made]))
+        self.words.clear()
+        self.update(zip(new, self._ids(list(map(self.string, new)))))
+        if words:
+            self.update(zip(words, self._joined(words)))
+            new += words
         for key, found in zip(keys, ids):
             for at in [i for i, x in enumerate(found) if x is None]:
                 found[at] = self[key[at]]

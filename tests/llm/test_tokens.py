@@ -1,6 +1,7 @@
 """BPE and record files against the tokenizers library; recovery and damage of record files."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -97,3 +98,19 @@ def test_damage_is_seen():
         with pytest.raises(ValueError):
             records.unframe(bytes(bad), 0)
     assert records.unpack(records.pack(None, np.array([70000]), True))[1].tolist() == [70000]
+
+
+def test_new_words_go_to_the_library_joined(monkeypatch):
+    """Ids of joined words are those of each alone; the library gets few strings for many words."""
+    words = ["".join(c) for c in itertools.product("aehqtzéß語", repeat=3)] + ["the", "a", "x" * 3000]
+    text = "start " + " ".join(words)
+    tok = records.LibraryEncoder(PATH)
+    whole = tok.library.encode(text, add_special_tokens=False).ids
+    asked = []
+    ids = tok._ids
+    monkeypatch.setattr(tok, "_ids", lambda strings: (asked.append(len(strings)), ids(strings))[1])
+    assert tok.encode_all([text])[0].tolist() == tok.encode_all([text])[0].tolist() == whole
+    assert sum(asked) < len(words) / 10
+    assert tok._joined(words) == ids([" " + w for w in words])
+    tok.sizes[:] = 2  # ends that don't fit: each word alone
+    assert tok._joined(words) == ids([" " + w for w in words])
